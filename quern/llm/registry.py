@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from quern.llm.mixing import OP10_SQL, op10_source_mixing
 from quern.llm.substring_dedup import OP1_SQL, op1_substring_dedup
+from quern.llm.token_output import op8_token_output
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op8_token_output": op8_token_output,
+    "op10_source_mixing": op10_source_mixing,
 }
 ORACLES = {
     "op1_substring_dedup": OP1_SQL,
+    "op10_source_mixing": OP10_SQL,
 }
