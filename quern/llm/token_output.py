@@ -17,9 +17,8 @@ Spark writes to will do):
 The corpus position of a shard is ``before`` plus the ids of earlier partitions: one
 row per partition is summed and broadcast, which the number of partitions bounds.
 
-Text is cut in front of each space that a plain word character follows.  Byte-level
-BPE splits there in any case, so pieces encode on their own and each distinct
-piece of a block is encoded once.
+Text is cut where byte-level BPE splits in any case (see ``_pieces``), so pieces
+encode on their own and each distinct piece of a block is encoded once.
 
 Edge cases.  A null or empty text has the end id alone.  Rows with equal doc_id
 follow one another in order of their text's hash; each is a document of its own.  A
@@ -43,16 +42,22 @@ from quern.llm.elias_fano import EliasFano, encode
 
 END_ID = 2
 #: Text bytes of a shard at most, but for a longer single text.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 
 _SHARD_DDL = "part int, seq int, before long, n_docs long, n_ids long, width int, ids binary, bounds binary, doc_ids binary, least long, nulls long"
 _SHARD = pa.schema(
     [("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("bounds", pa.binary()), ("doc_ids", pa.binary()), ("least", pa.int64()), ("nulls", pa.int64())]
 )
 
-_AFTER_SPACE = np.zeros(256, bool)
-_AFTER_SPACE[0x21:0x7F] = True
-_AFTER_SPACE[0xC3:0xE0] = True
+_NEXT = np.zeros(256, bool)  # first bytes of characters that are no white space
+_NEXT[0x21:0x7F] = True
+_NEXT[0xC3:0xE0] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_POINT = np.zeros(256, bool)  # splits off a letter; apostrophes may not, and <|> are in special tokens
+_POINT[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True
+_ODD = np.zeros(256, bool)  # white space, first bytes of wider white space, and a special token's
+_ODD[:0x20] = _ODD[[0x3C, 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 @lru_cache(maxsize=4)
@@ -65,51 +70,83 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _pieces(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Starts of pieces: in front of a space that a character follows, between a letter and
+    punctuation, and around a line end between characters. BPE splits there in any case."""
+    n = len(data)
+    cut = np.zeros(n + 3, bool)
+    if n > 2:
+        latin = np.zeros(n, bool)  # last byte of a two-byte Latin letter
+        latin[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        cut[: n - 1] = (data[:-1] == 32) & _NEXT[data[1:]]
+        cut[1:n] |= _POINT[data[1:]] & (_LETTER[data[:-1]] | latin[:-1])
+        line = np.flatnonzero((data[1:-1] == 10) & _NEXT[data[2:]] & ((data[:-2] < 0x7F) & _NEXT[data[:-2]] | latin[:-2])) + 1
+        cut[line] = cut[line + 1] = True
+    cut[off] = True
+    return np.flatnonzero(cut[:n])
+
+
 class Encoder:
-    """Encodes blocks of texts; keeps the ids of frequent pieces between blocks."""
+    """Encodes blocks of texts: each distinct piece of a block once, many pieces a call."""
 
-    KEEP = 200_000
+    #: Pieces of one call, and the token that a line end between two of them is.
+    CALL = 4096
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+
+    def _encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces in a row, and how many each has."""
+        data, off = flat(pieces)
+        last = data[off[1:] - 1]
+        odd = np.add.reduceat(_ODD[data].astype(np.int64), off[:-1]) > 0
+        first = data[off[:-1]] == 32
+        odd |= (last == 32) | (np.add.reduceat((data == 32).astype(np.int64), off[:-1]) > first) | (self.line is None)
+        n, parts, where = np.zeros(len(pieces), np.int64), [], []
+        plain = np.flatnonzero(~odd)
+        if len(plain):
+            some = pieces.take(pa.array(plain))
+            data, off = flat(some)
+            joined = np.insert(data, off[1:], 10).tobytes()  # a line end after each piece
+            edge = (off + np.arange(len(off))).tolist()
+            texts = [joined[edge[i] : edge[min(i + self.CALL, len(plain))]].decode() for i in range(0, len(plain), self.CALL)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            end = np.flatnonzero(ids == self.line)
+            if len(end) != len(plain):
+                raise ValueError("the tokenizer does not split at line ends")
+            n[plain] = np.diff(end, prepend=-1) - 1
+            parts.append(ids[ids != self.line])
+            where.append(plain)
+        rest = np.flatnonzero(odd)
+        if len(rest):
+            each = [e.ids for e in self.tokenizer.encode_batch([x.decode() for x in pieces.take(pa.array(rest)).to_pylist()], add_special_tokens=False)]
+            n[rest] = [len(e) for e in each]
+            parts.append(np.array([i for e in each for i in e], np.uint32))
+            where.append(rest)
+        start = np.zeros(len(pieces), np.int64)
+        order = np.concatenate(where)
+        start[order] = np.concatenate(([0], np.cumsum(n[order])))[:-1]
+        return np.concatenate(parts), np.stack([start, n])
 
     def ids(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the end of each text in it."""
         data, off = flat(texts)
-        cut = np.zeros(len(data) + 1, bool)
-        if len(data):
-            np.logical_and(data[:-1] == 32, _AFTER_SPACE[data[1:]], out=cut[: len(data) - 1])
-        cut[off] = True
-        begin = np.flatnonzero(cut[: len(data)])
-        size = np.diff(np.append(begin, len(data)))
-        pieces = pa.Array.from_buffers(
-            pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
-        )
-        coded = pieces.dictionary_encode()
-        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        known = self.known
-        new = [w for w in words if w not in known]
-        fresh = {}
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                fresh[w] = e.ids
-        each = [known[w] if w in known else fresh[w] for w in words]
-        if len(known) < self.KEEP:
-            known.update(x for x in fresh.items() if len(x[0]) < 32)
-        n = np.fromiter(map(len, each), np.int64, len(each))
-        flat_ids = np.fromiter((i for e in each for i in e), np.uint32, int(n.sum()))
-        start = np.concatenate(([0], np.cumsum(n)))[:-1]
-        count = n[which] if len(which) else np.zeros(0, np.int64)
-        ends = np.concatenate(([0], np.cumsum(count)))
-        begin_ids = np.repeat(start[which] - ends[:-1], count) if len(which) else np.zeros(0, np.int64)
-        out = flat_ids[begin_ids + np.arange(int(ends[-1]))] if len(which) else np.zeros(0, np.uint32)
+        begin = _pieces(data, off)
+        if len(begin):
+            edge = pa.py_buffer(np.append(begin, len(data)).astype(np.int64))
+            coded = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, edge, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+            known, (start, n) = self._encode(coded.dictionary)
+            which = coded.indices.to_numpy()
+            ends = np.concatenate(([0], np.cumsum(n[which])))
+            out = known[np.repeat(start[which] - ends[:-1], n[which]) + np.arange(int(ends[-1]))]
+        else:
+            ends, out = np.zeros(1, np.int64), np.zeros(0, np.uint32)
         stop = ends[np.searchsorted(begin, off[1:])]
         if end_id is not None:
             out = np.insert(out, stop, end_id)
             stop = stop + np.arange(1, len(stop) + 1)
-        del size
         return out, stop
 
 
