@@ -5,6 +5,7 @@ from __future__ import annotations
 from quern.llm.embedding_dedup import OP2_SQL, op2_embedding_dedup
 from quern.llm.mixing import OP10_SQL, op10_source_mixing
 from quern.llm.near_dedup import OP4_SQL, op4_near_dedup
+from quern.llm.quality import op5_quality
 from quern.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from quern.llm.token_output import op8_token_output
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op5_quality": op5_quality,
     "op8_token_output": op8_token_output,
     "op10_source_mixing": op10_source_mixing,
 }
