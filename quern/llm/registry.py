@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quern.llm.decontamination import op9_decontamination
 from quern.llm.embedding_dedup import OP2_SQL, op2_embedding_dedup
 from quern.llm.mixing import OP10_SQL, op10_source_mixing
 from quern.llm.near_dedup import OP4_SQL, op4_near_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_quality": op5_quality,
     "op8_token_output": op8_token_output,
+    "op9_decontamination": op9_decontamination,
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLES = {
