@@ -373,7 +373,7 @@ def near_classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESH
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.md5("text").alias("digest"), "text")
     heavy = heavy_shingles(docs, share)
     sketches = scratch.save(keyed.mapInArrow(_sketches(heavy, share), "id long, digest string, bands array<long>, sig binary"), "sketches")
-    firsts = sketches.groupBy("digest").agg(F.min("id").alias("first"))
+    firsts = scratch.save(sketches.groupBy("digest").agg(F.min("id").alias("first")), "firsts")  # as a table, so that a hot join can be split
     copies = sketches.select("id", "digest").join(firsts, "digest").where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     # one row per distinct text: the partial aggregation keeps copies from travelling
     distinct = sketches.where("sig is not null").groupBy("digest").agg(F.min(F.struct("id", "bands", "sig")).alias("x")).select("digest", "x.*")
