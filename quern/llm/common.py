@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time by the vectorised kernels.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 WORD_PATTERN = "[^ \\t-\\r]+"
 
@@ -33,6 +33,17 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _OWN_SCRATCH: dict[str, str] = {}
 
 
+#: Arrow batches that feed the kernels: rows of long texts must not fill a worker.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the rows of an Arrow batch where the session has Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) == 10_000:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -54,6 +65,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         self.base = f"{scratch_root(spark)}/quern-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -160,7 +172,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
         out = np.empty(len(self.start), np.uint64)
-        step = 1 << 20
+        step = 1 << 16
         for lo in range(0, len(self.start), step):  # bounded temporaries: blocks of words, not of the buffer
             s, e = self.start[lo : lo + step], self.end[lo : lo + step]
             if len(s) == 0:
@@ -186,12 +198,14 @@ class Words:
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of h[i:i+n] at each i <= len(h) - n, padded with zeros."""
     out = np.zeros(len(h), np.uint64)
-    if len(h) >= n:
-        up, down = powers(len(h) + 1, _Q)
-        total = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * up[:-1], out=total[1:])
-        m = len(h) - n + 1
-        out[:m] = mix((total[n:] - total[:m]) * down[:m])
+    step = max(1 << 16, n)
+    for lo in range(0, len(h) - n + 1, step):  # bounded tables of powers
+        part = h[lo : lo + step + n - 1]
+        up, down = powers(len(part) + 1, _Q)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[:-1], out=total[1:])
+        m = len(part) - n + 1
+        out[lo : lo + m] = mix((total[n:] - total[:m]) * down[:m])
     return out
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Words, flat, input_bytes, text_blocks
+from quern.llm.common import Words, flat, input_bytes, small_batches, text_blocks
 
 FEATURES, RANK, OVER = 8192, 40, 8
 #: Words of a passage of the term matrix, and of sliding windows. Windows move by a third of their length.
@@ -279,6 +279,7 @@ def _chunks(ptr: np.ndarray, words: int) -> Iterator[tuple[int, int]]:
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), cosine: float = COSINE) -> DataFrame:
     """Columns ``keep`` of docs with _item (the best matching leaked item, or null) and _share (of its words, in order)."""
+    small_batches(spark)
     space, rare = latent_space(docs)
     unique = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
     if input_bytes(benchmark) <= BENCHMARK_BYTES:

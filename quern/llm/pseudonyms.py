@@ -36,6 +36,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.common import small_batches
+
 #: The demonstration key; a production run passes its own secret.
 KEY = b"quern demonstration key"
 ROUNDS = 10
@@ -245,6 +247,7 @@ def _run(key: bytes):
 
 def with_pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, text with pseudonyms, spans of them."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_run(key), "doc_id long, text string, spans array<struct<start:int,length:int,kind:string>>")
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Words, mix, text_blocks
+from quern.llm.common import Words, mix, small_batches, text_blocks
 
 PASSAGE, CUT, FOLDS = 64, 0.3, 5
 #: Labelled documents that the network is fitted on at most.
@@ -175,6 +175,7 @@ def fold(doc_id) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GatedAttention | float:
     """Fit on at most ``sample`` labelled documents (doc_id, text; doc_id, quality) outside fold 0."""
+    small_batches(docs.sparkSession)
     votes = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     some = votes.where(fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # broadcast: at most ``sample`` ids and labels

@@ -262,11 +262,12 @@ def _rebuild(with_text: bool):
     return run
 
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False, fold_bytes: int = 16 << 20) -> DataFrame:
+def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False, fold_bytes: int = 8 << 20) -> DataFrame:
     """Per document: n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
     ``docs`` needs doc_id and text.  ``gram`` must not exceed ``window``.
     """
+    scratch = Scratch(spark)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"), F.hash("text").cast("long").alias("tie"), "text")
     buckets = max(LEAST_BUCKETS, input_bytes(docs) // BUCKET_BYTES)
     routed = keyed.select(F.col("key").alias("doc_id"), "tie", "text").mapInArrow(_cut(window, min(gram, window), buckets), _ROUTED_DDL)
@@ -275,7 +276,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
         routed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_fold(window, fold_bytes), "doc_id long, tie long, spans binary")
         .groupBy("doc_id", "tie").agg(F.collect_list("spans").alias("spans"))
     )
-    spans = Scratch(spark).save(spans, "spans")  # frees the packed strings before the texts move
+    spans = scratch.save(spans, "spans")  # frees the packed strings before the texts move
     joined = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"), F.hash("text").cast("long").alias("tie"), "text").join(
         spans.withColumnRenamed("doc_id", "key"), ["key", "tie"], "left"
     )

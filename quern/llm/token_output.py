@@ -42,7 +42,7 @@ from quern.llm.elias_fano import EliasFano, encode
 
 END_ID = 2
 #: Text bytes of a shard at most, but for a longer single text.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 
 _SHARD_DDL = "part int, seq int, before long, n_docs long, n_ids long, width int, ids binary, bounds binary, doc_ids binary, least long, nulls long"
 _SHARD = pa.schema(
@@ -140,7 +140,11 @@ class Encoder:
             known, (start, n) = self._encode(coded.dictionary)
             which = coded.indices.to_numpy()
             ends = np.concatenate(([0], np.cumsum(n[which])))
-            out = known[np.repeat(start[which] - ends[:-1], n[which]) + np.arange(int(ends[-1]))]
+            out = np.empty(int(ends[-1]), np.uint32)
+            for i in range(0, len(which), 1 << 16):  # bounded tables of places
+                w = which[i : i + (1 << 16)]
+                a, b = int(ends[i]), int(ends[i + len(w)])
+                out[a:b] = known[np.repeat(start[w] - ends[i : i + len(w)], n[w]) + np.arange(a, b)]
         else:
             ends, out = np.zeros(1, np.int64), np.zeros(0, np.uint32)
         stop = ends[np.searchsorted(begin, off[1:])]
