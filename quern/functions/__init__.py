@@ -1 +1 @@
-
+"""Column expressions that Spark has no built-in for."""

@@ -1 +1 @@
-
+"""Stateful counterparts on Structured Streaming."""
