@@ -84,7 +84,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> Data
         ),
     )
     kept = F.flatten(F.transform(edges, lambda e: F.slice("lines", e["from"] + 1, e["to"] - e["from"])))
-    joined = keyed.join(spans, ["id", "tie"], "left").withColumn("lines", lines)
+    joined = keyed.join(spans.hint("merge"), ["id", "tie"], "left").withColumn("lines", lines)
     removed = F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["begin"]), F.lit(0))
     return joined.select(
         "doc_id", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("_n"), removed.cast("long").alias("n_removed"), "spans",
