@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from quern.functions.porter import stem
 
@@ -87,7 +88,7 @@ def wildcard_regex(pattern: str) -> str:
     return glob_regex(pattern.lower().replace("[", "\\["))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stems(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stems of token arrays; each distinct token of a batch is stemmed once."""
     for s in parts:

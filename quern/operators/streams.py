@@ -175,9 +175,10 @@ def replay_groups(stream: DataFrame, log: DataFrame) -> DataFrame:
         types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
 
-    groups = log.select("key", "grp").distinct()
-    entries = stream.select("key", "ms", "seq").join(groups, "key").groupBy("key", "grp")
-    commands = log.select("key", "grp", "seq", "cmd", "consumer", "id", "ids", "n", "now", "idle").groupBy("key", "grp")
+    # fresh names on both sides: log and stream may come from one table
+    groups = log.select(F.col("key").alias("k"), F.col("grp").alias("g")).distinct()
+    entries = stream.select("key", "ms", "seq").join(groups, F.col("key") == F.col("k")).select("k", "g", "ms", "seq").groupBy("k", "g")
+    commands = log.select(*[F.col(c).alias(c) for c in ("key", "grp", "seq", "cmd", "consumer", "id", "ids", "n", "now", "idle")]).groupBy("key", "grp")
     return entries.cogroup(commands).applyInArrow(run, "key string, grp string, at long, cmd string, consumer string, ms long, seq long, deliveries long")
 
 
