@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time by the vectorised kernels.
@@ -90,9 +90,16 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def without_clashes(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the wanted columns, so that extra columns can never clash with an operator's own."""
-    return df.select(*[F.col(f"`{c}`") for c in wanted])
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that no input column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def every(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
 
 
 def powers(n: int, base: np.uint64 = _P) -> tuple[np.ndarray, np.ndarray]:

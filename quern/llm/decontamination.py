@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Words, flat, input_bytes, small_batches, text_blocks
+from quern.llm.common import Words, every, flat, fresh, input_bytes, small_batches, text_blocks
 
 FEATURES, RANK, OVER = 8192, 40, 8
 #: Words of a passage of the term matrix, and of sliding windows. Windows move by a third of their length.
@@ -211,7 +211,7 @@ class Items:
         return out
 
 
-def _search(items: Items, cosine: float):
+def _search(items: Items, cosine: float, names: tuple[str, str]):
     def judge(i: int, window: list) -> float:
         item = items.words[i]
         share = lcs(items.places[i], len(item), window) / len(item)
@@ -262,7 +262,7 @@ def _search(items: Items, cosine: float):
             found = [best.get(d) for d in range(t.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [*(t[c].combine_chunks() for c in t.column_names), pa.array([x and -x[1] for x in found], pa.int64()), pa.array([x[0] if x else 0.0 for x in found], pa.float64())],
-                names=[*t.column_names, "_item", "_share"],
+                names=[*t.column_names, *names],
             )
 
     return run
@@ -277,8 +277,8 @@ def _chunks(ptr: np.ndarray, words: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), cosine: float = COSINE) -> DataFrame:
-    """Columns ``keep`` of docs with _item (the best matching leaked item, or null) and _share (of its words, in order)."""
+def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), cosine: float = COSINE, names: tuple[str, str] = ("item", "share")) -> DataFrame:
+    """Columns ``keep`` of docs (text with them), the best matching leaked item or null, and the share of its words found in order."""
     small_batches(spark)
     space, rare = latent_space(docs)
     unique = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
@@ -288,27 +288,28 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: tupl
         n = -(-unique.count() // ITEM_BLOCK)
         blocks = (unique.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect() for i in range(n))
     wanted = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((*keep, "text"))])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields)
-    out = None
+    kept, out = wanted.columns, None
     for rows in blocks:
-        rows = sorted(rows, key=lambda r: r["item_id"])
-        items = Items([r["item_id"] for r in rows], [r["text"] for r in rows], space, rare)
+        rows = sorted(rows, key=lambda r: (r["item_id"] is not None, r["item_id"] or 0, r["text"]))
+        items = Items([r["item_id"] or 0 for r in rows], [r["text"] for r in rows], space, rare)
+        schema = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
         if out is None:
-            out = wanted.mapInArrow(_search(items, cosine), f"{schema}, _item long, _share double")
+            out = wanted.mapInArrow(_search(items, cosine, names), f"{schema(wanted)}, `{names[0]}` long, `{names[1]}` double")
         else:
-            more = out.withColumnRenamed("_item", "_item0").withColumnRenamed("_share", "_share0")
-            more = more.mapInArrow(_search(items, cosine), f"{schema}, _item0 long, _share0 double, _item long, _share double")
-            better = F.col("_share") > F.col("_share0")
-            out = more.select(*[F.col(f"`{c}`") for c in wanted.columns], F.when(better, F.col("_item")).otherwise(F.col("_item0")).alias("_item"), F.greatest("_share", "_share0").alias("_share"))
+            new = tuple(fresh(n, out.columns) for n in names)
+            more = out.mapInArrow(_search(items, cosine, new), f"{schema(out)}, `{new[0]}` long, `{new[1]}` double")
+            better = F.col(new[1]) > F.col(names[1])
+            out = more.select(*[F.col(f"`{c}`") for c in kept], F.when(better, F.col(new[0])).otherwise(F.col(names[0])).alias(names[0]), F.greatest(new[1], names[1]).alias(names[1]))
     return out
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    columns = docs.columns
-    return leaks(spark, docs, benchmark, keep=tuple(columns), **options).where("_item is null").select(*[F.col(f"`{c}`") for c in columns])
+    names = (fresh("item", docs.columns), fresh("share", docs.columns))
+    found = leaks(spark, docs, benchmark, keep=tuple(docs.columns), names=names, **options)
+    return found.where(F.col(names[0]).isNull()).select(*every(docs))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = leaks(spark, docs, benchmark)
-    return found.select("doc_id", F.col("_item").isNotNull().alias("contaminated"), F.col("_item").alias("item_id"), F.col("_share").alias("lcs_share"))
+    return found.select("doc_id", F.col("item").isNotNull().alias("contaminated"), F.col("item").alias("item_id"), F.col("share").alias("lcs_share"))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD_PATTERN
+from quern.llm.common import WORD_PATTERN, every
 
 WEIGHTS, BUDGET, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 #: One row per source is broadcast while there are no more of them than this; beyond it Spark joins by shuffle.
@@ -63,32 +63,29 @@ def draw(doc_id) -> F.Column:
 
 
 def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
-    """docs with struct ``_mix``: size, source_size, target, copies."""
-    spark = docs.sparkSession
-    sized = docs.withColumn("_mix_size", word_count(F.col("text")))
-    sizes = sized.groupBy("source").agg(F.sum("_mix_size").alias("source_size"))
-    plan = targets(sizes, weights, budget, most).withColumnRenamed("source", "_mix_source")
+    """Two structs a document: row, its columns; mix: size, source_size, target, copies."""
+    sized = docs.select(F.struct(*every(docs)).alias("row")).withColumn("size", word_count(F.col("row.text")))
+    sizes = sized.groupBy(F.col("row.source").alias("source")).agg(F.sum("size").alias("source_size"))
+    plan = targets(sizes, weights, budget, most)
     many = docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count()
     if many <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     base = F.floor(rate)
-    copies = (base + F.when(draw(F.col("doc_id")) < rate - base, 1).otherwise(0)).cast("long")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return sized.join(plan, F.col("source").eqNullSafe(F.col("_mix_source"))).select(
-        *columns, F.struct(F.col("_mix_size").alias("size"), F.col("source_size"), F.col("target"), copies.alias("copies")).alias("_mix")
-    )
+    copies = (base + F.when(draw(F.col("row.doc_id")) < rate - base, 1).otherwise(0)).cast("long")
+    joined = sized.join(plan, F.col("row.source").eqNullSafe(F.col("source")))
+    return joined.select("row", F.struct("size", "source_size", "target", copies.alias("copies")).alias("mix"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each document as often as its copies say, with the columns of docs."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return with_copies(docs, **options).where("_mix.copies > 0").withColumn("_mix", F.explode(F.sequence(F.lit(1), F.col("_mix.copies")))).select(*columns)
+    chosen = with_copies(docs, **options).where("mix.copies > 0")
+    return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("mix.copies")))).select("row.*")
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return with_copies(docs).select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.copies") * F.col("_mix.size")).alias("taken"))
+    return with_copies(docs).select("row.doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
 OP10_SQL = """

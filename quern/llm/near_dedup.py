@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, Words, gram_hashes, mix, text_blocks
+from quern.llm.common import Scratch, Words, every, gram_hashes, mix, text_blocks
 from quern.llm.graph import connected_components
 
 SHINGLE, THRESHOLD, SHARE = 5, 0.8, 0.05
@@ -382,7 +382,7 @@ def near_classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESH
     promising = _in_blocks(banded).select(*_KEYS, "block", "id", "sig").mapInArrow(_promising, "a long, b long")
     clusters = connected_components(spark, promising)
     chosen = clusters.join(distinct.select("id", "digest", "sig"), "id").select(F.col("component").alias("key"), "id", "digest", "sig")
-    texts = keyed.join(chosen, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("key", "id", "sig", "text")
+    texts = keyed.join(chosen.hint("merge"), ["id", "digest"]).dropDuplicates(["id", "digest"]).select("key", "id", "sig", "text")
     texts = scratch.save(texts, "texts")
     links = _in_blocks(texts).select(*_KEYS, "block", "id", "sig", "text").mapInArrow(_verified(heavy, share, threshold), "a long, b long")
     classes = connected_components(spark, scratch.save(links.unionByName(copies), "links"))
@@ -394,15 +394,14 @@ def near_classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESH
 def near_dedup(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """docs without near copies: of each class the row of least doc_id (of several such, the one of least text digest)."""
     classes = near_classes(spark, docs, **options)
-    kept = classes.where("doc_id = class_id or doc_id is null").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_near_id"), F.coalesce("digest", F.lit("")).alias("_near_digest"))
-    kept = kept.groupBy("_near_id").agg(F.min("_near_digest").alias("_near_digest"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("_near_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_near_digest", F.coalesce(F.md5("text"), F.lit("")))
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    joined = keyed.join(kept, ["_near_id", "_near_digest"])
-    if repeated:  # rows equal in id and text: one stays
-        joined = joined.withColumn("_near_n", F.row_number().over(Window.partitionBy("_near_id").orderBy("_near_digest"))).where("_near_n = 1")
-    return joined.select(*columns)
+    kept = classes.where("doc_id = class_id or doc_id is null").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.coalesce("digest", F.lit("")).alias("digest"))
+    kept = kept.groupBy("id").agg(F.min("digest").alias("digest"))
+    rows = docs.select(F.struct(*every(docs)).alias("row"))
+    keyed = rows.withColumn("id", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_NO_ID))).withColumn("digest", F.coalesce(F.md5("row.text"), F.lit("")))
+    joined = keyed.join(kept.hint("merge"), ["id", "digest"])
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():  # rows equal in id and text: one stays
+        joined = joined.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("digest"))).where("nth = 1")
+    return joined.select("row.*")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

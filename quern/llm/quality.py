@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Words, mix, small_batches, text_blocks
+from quern.llm.common import Words, every, fresh, mix, small_batches, text_blocks
 
 PASSAGE, CUT, FOLDS = 64, 0.3, 5
 #: Labelled documents that the network is fitted on at most.
@@ -153,7 +153,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"y": t["y"].combine_chunks(), "x": pa.array([half[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())})
 
 
-def _score(net: GatedAttention | float):
+def _score(net: GatedAttention | float, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in text_blocks(batches):
             if isinstance(net, float):
@@ -164,7 +164,7 @@ def _score(net: GatedAttention | float):
                 for lo in range(0, t.num_rows, 256):
                     hi = min(lo + 256, t.num_rows)
                     score[lo:hi] = net.forward(x[first[lo] : first[hi]], first[lo : hi + 1] - first[lo])[0]
-            yield pa.RecordBatch.from_arrays([*(t[c].combine_chunks() for c in t.column_names), pa.array(score, pa.float64())], names=[*t.column_names, "_score"])
+            yield pa.RecordBatch.from_arrays([*(t[c].combine_chunks() for c in t.column_names), pa.array(score, pa.float64())], names=[*t.column_names, name])
 
     return run
 
@@ -188,21 +188,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GatedAtte
     return GatedAttention.fit([np.frombuffer(blobs[i], "<f2").reshape(-1, WIDTH).astype(np.float32) for i in order], y[order].astype(np.float32))
 
 
-def scores(docs: DataFrame, net: GatedAttention | float, *keep: str) -> DataFrame:
-    """docs with text: the columns in ``keep`` and _score."""
+def scores(docs: DataFrame, net: GatedAttention | float, *keep: str, name: str = "score") -> DataFrame:
+    """docs with text: the columns in ``keep`` (text with them) and the score, under a name they must not have."""
+    small_batches(docs.sparkSession)
     wanted = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((*keep, "text"))])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields)
-    return wanted.mapInArrow(_score(net), f"{schema}, _score double")
+    return wanted.mapInArrow(_score(net, name), f"{schema}, `{name}` double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The documents that the classifier does not reject, with the columns of docs."""
-    columns = docs.columns
-    return scores(docs, train(docs, labels), *columns).where(F.col("_score") >= cut).select(*[F.col(f"`{c}`") for c in columns])
+    name = fresh("score", docs.columns)
+    return scores(docs, train(docs, labels), *docs.columns, name=name).where(F.col(name) >= cut).select(*every(docs))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = scores(docs, train(docs, labels), "doc_id")
     held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(True))
-    return scored.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

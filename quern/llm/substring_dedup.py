@@ -278,7 +278,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     )
     spans = scratch.save(spans, "spans")  # frees the packed strings before the texts move
     joined = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"), F.hash("text").cast("long").alias("tie"), "text").join(
-        spans.withColumnRenamed("doc_id", "key"), ["key", "tie"], "left"
+        spans.withColumnRenamed("doc_id", "key").hint("merge"), ["key", "tie"], "left"
     )
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(_rebuild(with_text), ddl)

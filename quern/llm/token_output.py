@@ -198,7 +198,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    shards = spark.read.parquet(path)
+    shards = spark.read.schema(_SHARD_DDL).parquet(path)
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     place = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_base"))
     return shards.join(F.broadcast(place), "part").select(
