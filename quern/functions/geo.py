@@ -43,22 +43,36 @@ def _cell_axis(x: Column, low: float, high: float) -> Column:
     return F.least(F.floor((x - low) / (high - low) * (1 << STEPS)), F.lit((1 << STEPS) - 1)).cast("long")
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x with x computed once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _step(x: Column, shift: int, mask: int, left: bool) -> Column:
+    moved = F.shiftleft if left else F.shiftright
+    return _let(x, lambda v: v.bitwiseOR(moved(v, shift)).bitwiseAND(F.lit(mask)))
+
+
 def _spread(x: Column) -> Column:
     for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+        x = _step(x, shift, mask, True)
     return x
 
 
 def _gather(x: Column) -> Column:
     x = x.bitwiseAND(F.lit(0x5555555555555555))
     for shift, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
-        x = x.bitwiseOR(F.shiftright(x, shift)).bitwiseAND(F.lit(mask))
+        x = _step(x, shift, mask, False)
     return x
 
 
+def _interleaved(lon: Column, lat: Column, limit: float) -> Column:
+    return _spread(_cell_axis(lat, -limit, limit)).bitwiseOR(F.shiftleft(_spread(_cell_axis(lon, -180.0, 180.0)), 1))
+
+
 def encode(lon: Column, lat: Column) -> Column:
     """52-bit cell: longitude bits over latitude bits, interleaved."""
-    return _spread(_cell_axis(lat, -LATITUDE_LIMIT, LATITUDE_LIMIT)).bitwiseOR(F.shiftleft(_spread(_cell_axis(lon, -180.0, 180.0)), 1))
+    return _interleaved(lon, lat, LATITUDE_LIMIT)
 
 
 def decode(cell: Column) -> tuple[Column, Column]:
@@ -70,10 +84,11 @@ def decode(cell: Column) -> tuple[Column, Column]:
 
 def geohash(lon: Column, lat: Column) -> Column:
     """Eleven characters: ten of the standard hash on latitudes to 90 degrees, then 0."""
-    y, x = _spread(_cell_axis(lat, -90.0, 90.0)), _spread(_cell_axis(lon, -180.0, 180.0))
-    bits = y.bitwiseOR(F.shiftleft(x, 1))
-    chars = [F.substring(F.lit(_ALPHABET), (F.shiftright(bits, 52 - 5 * (i + 1)).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for i in range(10)]
-    return F.concat(*chars, F.lit("0"))
+
+    def char(bits: Column, i: int) -> Column:
+        return F.substring(F.lit(_ALPHABET), (F.shiftright(bits, 52 - 5 * (i + 1)).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
+
+    return _let(_interleaved(lon, lat, 90.0), lambda bits: F.concat(*[char(bits, i) for i in range(10)], F.lit("0")))
 
 
 def parse_wkt(text: str) -> tuple[str, list[list[tuple[float, float]]]]:

@@ -33,7 +33,7 @@ def tokens(text: Column, ngrams: bool = False) -> Column:
 
 def tags(text: Column, separator: str = ",", case_sensitive: bool = False) -> Column:
     """Split, trimmed, without empty ones, lower-cased unless case_sensitive."""
-    parts = F.transform(F.split(text if case_sensitive else F.lower(text), f"\\Q{separator}\\E"), F.trim)
+    parts = F.transform(F.split(text if case_sensitive else F.lower(text), f"\\Q{separator}\\E"), lambda t: F.trim(t))
     return F.coalesce(F.filter(parts, lambda t: t != ""), F.array().cast("array<string>"))
 
 

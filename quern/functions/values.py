@@ -48,6 +48,8 @@ class Value:
 
     @staticmethod
     def column(c: Column, kind: str, missing: str) -> Value:
+        if kind == "computed":  # a result: where it is null, there was no number
+            return Value(F.coalesce(number_text(c), F.lit("")), c, True)
         if is_numeric(kind):
             x = c.cast("double")
             return Value(F.coalesce(number_text(x), F.lit(missing)), x, True, None, c.isNull(), missing)
@@ -79,10 +81,10 @@ def compare(op: str, a: Value, b: Value) -> Column:
     f = _OPS["==" if op == "=" else op]
     if a.numeric and b.numeric:
         if a.nullable is None and b.nullable is None:
-            return F.coalesce(f(a.num, b.num), F.lit(False))
+            return f(a.num, b.num) & a.num.isNotNull() & b.num.isNotNull() if b.constant is None else f(a.num, b.num) & a.num.isNotNull()
         if b.constant is not None and a.missing_text is not None:  # keeps the comparison a predicate that scans can take
             by_text = f(a.missing_text, str(int(b.constant)) if float(b.constant).is_integer() else repr(b.constant))
-            return f(a.num, b.num) | a.nullable if by_text else F.coalesce(f(a.num, b.num), F.lit(False))
+            return f(a.num, b.num) | a.nullable if by_text else f(a.num, b.num) & ~a.nullable
     if isinstance(b.constant, str) and a.missing_text is not None and not a.numeric and op in ("==", "=", "!="):
         try:
             float(b.constant)

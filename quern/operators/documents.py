@@ -1,4 +1,7 @@
-"""JSON documents as (key, doc) rows. Reads are built-in path expressions; edits parse in batches."""
+"""JSON documents as (key, doc) rows. Reads are built-in path expressions; edits parse in batches.
+
+A text that is no JSON is left as it is, with a null reply.
+"""
 
 from __future__ import annotations
 
@@ -60,6 +63,13 @@ class _Absent(Exception):
     pass
 
 
+def _load(text: str) -> Any:
+    try:
+        return json.loads(text)
+    except ValueError:
+        raise _Absent from None
+
+
 def _parent(doc: Any, way: list[str | int]) -> tuple[Any, str | int]:
     for s in way[:-1]:
         try:
@@ -86,8 +96,8 @@ def _edit(path: str, change: Callable[[Any], tuple[Any, Any]]):
     def one(text: str | None) -> tuple[str | None, str | None]:
         if text is None:
             return None, None
-        doc = json.loads(text)
         try:
+            doc = _load(text)
             new, reply = change(_at(doc, way))
         except _Absent:
             return text, None
@@ -110,13 +120,13 @@ def put(path: str, value: str, mode: str = ""):
     way, new = steps(path), json.loads(value)
 
     def one(text: str | None) -> tuple[str | None, str | None]:
-        doc = None if text is None else json.loads(text)
         if not way:
             done = not (mode == "NX" and text is not None or mode == "XX" and text is None)
             return (value if done else text), ('"OK"' if done else None)
         try:
             if text is None:
                 raise _Absent
+            doc = _load(text)
             holder, last = _parent(doc, way)
             there = last in holder if isinstance(holder, dict) else isinstance(holder, list) and isinstance(last, int) and last < len(holder)
             if not isinstance(holder, (dict, list)) or isinstance(holder, list) and not there or mode == "NX" and there or mode == "XX" and not there:
@@ -145,8 +155,8 @@ def delete(path: str):
     def one(text: str | None) -> tuple[str | None, str]:
         if text is None or not way:
             return None, str(int(text is not None))
-        doc = json.loads(text)
         try:
+            doc = _load(text)
             holder, last = _parent(doc, way)
             del holder[last]
         except (_Absent, KeyError, IndexError, TypeError):

@@ -64,7 +64,10 @@ class Pipeline:
     sorts: tuple[tuple[str, str], ...] = ()
     page: tuple[int, int] | None = None
     shown: tuple[str, ...] | None = None
-    kept: tuple[str, ...] = field(default=())
+    computed: frozenset[str] = field(default=frozenset())
+
+    def _fields(self) -> dict[str, tuple[Column, str]]:
+        return {n: (c, "computed" if n in self.computed else k) for n, (c, k) in columns(self.rows).items()}
 
     def load(self, *names: str | tuple[str, str]) -> Pipeline:
         """Fields to show, each with an alias if it is a pair; "*" for all."""
@@ -78,15 +81,16 @@ class Pipeline:
         return replace(self, rows=rows, shown=(self.shown or ()) + tuple(b for _, b in pairs))
 
     def apply(self, expression: str, name: str) -> Pipeline:
-        value = Compiler(columns(self.rows)).compile(expression)
-        return replace(self, rows=self.rows.withColumn(name, _typed(value)), shown=(*(s for s in self.shown or () if s != name), name))
+        value = Compiler(self._fields()).compile(expression)
+        computed = self.computed | {name} if value.numeric else self.computed - {name}
+        return replace(self, rows=self.rows.withColumn(name, _typed(value)), shown=(*(s for s in self.shown or () if s != name), name), computed=computed)
 
     def filter(self, expression: str) -> Pipeline:
-        return replace(self, rows=self.rows.where(Compiler(columns(self.rows)).condition(expression)))
+        return replace(self, rows=self.rows.where(Compiler(self._fields()).condition(expression)))
 
     def group(self, keys: list[str], *reducers: Reduce) -> Pipeline:
         """Keys are text, missing ones empty. Without keys, one group if there is any row."""
-        known = columns(self.rows)
+        known = self._fields()
         names = [k.removeprefix("@") for k in keys]
         by = [F.coalesce(Value.column(*known[n], missing="").text, F.lit("")).alias(n) if n in known else F.lit("").alias(n) for n in names]
         compiler = Compiler(known)
@@ -95,7 +99,7 @@ class Pipeline:
             rows = self.rows.groupBy(*by).agg(*cols) if cols else self.rows.select(*by).distinct()
         else:
             rows = self.rows.agg(*(cols or [F.count(F.lit(1)).alias("__n")]), F.count(F.lit(1)).alias("__rows")).where("__rows > 0").drop("__rows", "__n")
-        return replace(self, rows=rows, key=names, shown=tuple(rows.columns))
+        return replace(self, rows=rows, key=names, shown=tuple(rows.columns), computed=frozenset())
 
     def sortby(self, *by: tuple[str, str] | str) -> Pipeline:
         return replace(self, sorts=self.sorts + tuple((b, "ASC") if isinstance(b, str) else b for b in by))

@@ -104,7 +104,7 @@ class Compiled:
         wanted = list(node.values) if f.case_sensitive else [v.lower() for v in node.values]
         c, kind = self.index.column(f), self.index.kind_of(f)
         if not kind.startswith("array") and f.separator == "":  # one tag a document: a predicate that scans can take
-            return F.coalesce((c if f.case_sensitive else F.lower(c)).isin(wanted), F.lit(False))
+            return (c if f.case_sensitive else F.lower(c)).isin(wanted) & c.isNotNull()
         if kind.startswith("array"):
             return F.exists(self.index.values(f), lambda v: F.exists(T.tags(v, f.separator, f.case_sensitive), lambda t: t.isin(wanted)))
         return F.exists(T.tags(c.cast("string"), f.separator, f.case_sensitive), lambda t: t.isin(wanted))
@@ -119,7 +119,7 @@ class Compiled:
             return low & high & x.isNotNull()
 
         if is_numeric(self.index.kind_of(f)):
-            return F.coalesce(inside(self.index.column(f)), F.lit(False))
+            return inside(self.index.column(f))  # false, not null, for a missing number
         return F.exists(self.index.numbers(f), inside)
 
     def _point(self, f: Field) -> tuple[Column, Column]:

@@ -343,7 +343,7 @@ def vector_projection(spark, d):
 
 
 _HYBRID = f"""
-{_BM25}, {_Q}, a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS n FROM r QUALIFY n <= 20),
+{_BM25.replace("FROM documents)", "FROM (SELECT coalesce(doc_id, vec_id) AS doc_id, coalesce(text, '') AS text FROM documents FULL JOIN embeddings ON doc_id = vec_id))")}, {_Q}, a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS n FROM r QUALIFY n <= 20),
 k AS (SELECT vec_id, row_number() OVER (ORDER BY {_L2}, vec_id) AS n FROM e, q QUALIFY n <= 20)
 SELECT coalesce(a.doc_id, k.vec_id) AS key, round(coalesce(1 / (60 + a.n), 0) + coalesce(1 / (60 + k.n), 0), 9) AS score
 FROM a FULL JOIN k ON a.doc_id = k.vec_id ORDER BY coalesce(1 / (60 + a.n), 0) + coalesce(1 / (60 + k.n), 0) DESC, key LIMIT 20"""
@@ -351,7 +351,7 @@ FROM a FULL JOIN k ON a.doc_id = k.vec_id ORDER BY coalesce(1 / (60 + a.n), 0) +
 
 @_register(_HYBRID)
 def hybrid_rrf(spark, d):
-    both = K.table(spark, d, "documents").join(K.table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
+    both = K.table(spark, d, "documents").join(K.table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "full_outer")
     ix = Index(both, "doc_id", (Field("text", "TEXT"), Field("embedding", "VECTOR")))
     return hybrid(ix, "worthless|pathetic", "embedding", vector_zero(spark, d), k=20, window=20, limit=(0, 20)).select("key", F.round("score", 9).alias("score"))
 
