@@ -123,10 +123,12 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SUMS = "docs long, passages long, df binary, tf binary, product binary"
 
 
-def latent_space(docs: DataFrame, fan_in: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Whitened, centred vector of each feature (FEATURES x RANK), and which features are rare."""
     parts = docs.select("text").mapInArrow(_gather, _SUMS)
-    parts = parts.repartition(fan_in).mapInArrow(_add, _SUMS).collect()  # fan_in rows of a fixed size
+    fan_in = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    # one row of a fixed size
+    parts = parts.repartition(fan_in).mapInArrow(_add, _SUMS).repartition(1).mapInArrow(_add, _SUMS).collect()
     n, df, tf, product = 0, np.zeros(FEATURES), np.zeros(FEATURES), np.zeros((FEATURES, RANK + OVER))
     for r in parts:
         n += r["docs"]
