@@ -12,12 +12,12 @@ reach half that share, which bounds what is counted, collected and broadcast.
 2. Sketching. ``ROWS * BANDS`` consistent weighted samples a text. The gamma and
    uniform variates of a (shingle, sample) pair come from a fixed table through a
    hash of the pair, so equal pairs draw equally everywhere.
-3. Candidates. Equal bands meet in buckets. A bucket deals its members in blocks,
-   compares all sketches and returns a forest of promising pairs (an estimate that
-   a pair at the threshold falls below with probability 2e-5), never the pairs.
-4. Verification. Each cluster of promising documents meets once, again in blocks;
-   pairs that links found so far do not connect yet are verified by exact weighted
-   Jaccard similarity, and a forest of links returns.
+3. Candidates. Equal bands meet in buckets, which compare all sketches and return a
+   forest of promising pairs (an estimate that a pair at the threshold falls below with
+   probability 2e-5), never the pairs.
+4. Verification. Texts of a cluster of promising documents meet; pairs that links found
+   so far do not connect yet are verified by exact weighted Jaccard similarity, and a
+   forest of links returns. Large buckets and clusters are dealt in blocks (``_links``).
 5. Classes are the connected components of the links and of equal texts.
 
 With 16 bands of 4 rows a pair at 0.8 misses all bands with probability 2e-4.
@@ -293,7 +293,7 @@ _KEYS = ["key", "i", "j"]
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _groups(batches, _KEYS):
         cut = _bounds(t, _KEYS)
-        ids, block, sig = t["id"].to_numpy(), t["block"].to_numpy(), _signs(t)
+        ids, sig = t["id"].to_numpy(), _signs(t)
         size = np.diff(cut)
         a, b = [], []
         pairs = cut[:-1][size == 2]  # most buckets are pairs: all at once
@@ -313,7 +313,6 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = root != inside
             a.append(ids[lo:hi][out])
             b.append(ids[lo:hi][root[out]])
-        del block
         yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
 
@@ -345,7 +344,9 @@ def _verified(heavy: tuple[np.ndarray, np.ndarray], share: float, threshold: flo
                 fit = np.minimum(total[x], total[y]) >= threshold * np.maximum(total[x], total[y]) * (1 - 1e-9)  # else it can't be reached
                 x, y = x[fit], y[fit]
                 order = np.argsort(-alike[x, y].astype(np.int16), kind="stable")
-                forest, found = _Forest(n), []
+                forest, found, known = _Forest(n), [], {}
+                for i, part_of in enumerate(part["part"].to_pylist()):  # connected before: no need to compare
+                    forest.join(known.setdefault(part_of, i), i)
                 for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
                     if forest.root(i) != forest.root(j) and similarity(s, w, i, j) >= threshold:
                         forest.join(i, j)
@@ -356,15 +357,39 @@ def _verified(heavy: tuple[np.ndarray, np.ndarray], share: float, threshold: flo
     return run
 
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
-    """rows: key, id, ... . Every pair of rows of a key meets in a (key, i, j); keys of one row go."""
-    wide = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(wide, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = [c for c in rows.columns if c != "key"]
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *rest)
+def _dealt(rows: DataFrame) -> DataFrame:
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return dealt.repartition(n, *_KEYS).sortWithinPartitions(*_KEYS)
+    return rows.repartition(n, *_KEYS).sortWithinPartitions(*_KEYS)
+
+
+def _links(rows: DataFrame, kernel, scratch: Scratch, name: str) -> DataFrame:
+    """Links (a, b) that connect whatever pairs of rows of a key the kernel links. rows: key, id, ... .
+
+    A key of up to BLOCK rows is one group. Of a larger key, one block of pivots meets every
+    other block, which costs twice the rows. What this leaves outside the key's largest
+    component then meets all blocks. So every pair meets but those that are connected already,
+    and no group holds more than two blocks.
+    """
+    rest = [c for c in rows.columns if c not in ("key", "id")]
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = scratch.save(sizes, f"{name}_sizes")
+    placed = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    partners = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("block") == 0, F.sequence(F.lit(1), F.greatest(F.col("blocks") - 1, F.lit(1)))).otherwise(F.array("block"))
+    first = placed.withColumn("i", F.lit(0)).withColumn("j", F.explode(partners)).select(*_KEYS, "id", F.col("id").alias("part"), *rest)
+    found = scratch.save(_dealt(first).mapInArrow(kernel, "a long, b long"), f"{name}_first")
+    if sizes.where("blocks > 1").isEmpty():
+        return found
+    parts = connected_components(rows.sparkSession, found).withColumnRenamed("component", "part")
+    large = placed.where("blocks > 1").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    main = large.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+    outside = large.join(main, "key").where("part != main").drop("main")
+    groups = scratch.save(outside.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("groups")), f"{name}_outside")
+    if groups.isEmpty():
+        return found
+    outside = outside.join(groups, "key").withColumn("i", F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    inside = large.join(groups, "key").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("j", F.col("block"))
+    both = outside.select(*_KEYS, "id", "part", *rest).unionByName(inside.select(*_KEYS, "id", "part", *rest))
+    return found.unionByName(scratch.save(_dealt(both).mapInArrow(kernel, "a long, b long"), f"{name}_second"))
 
 
 def near_classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
@@ -379,12 +404,11 @@ def near_classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESH
     distinct = sketches.where("sig is not null").groupBy("digest").agg(F.min(F.struct("id", "bands", "sig")).alias("x")).select("digest", "x.*")
     distinct = scratch.save(distinct, "distinct")
     banded = distinct.select(F.explode("bands").alias("key"), "id", "sig")
-    promising = _in_blocks(banded).select(*_KEYS, "block", "id", "sig").mapInArrow(_promising, "a long, b long")
-    clusters = connected_components(spark, promising)
+    clusters = connected_components(spark, _links(banded, _promising, scratch, "promising"))
     chosen = clusters.join(distinct.select("id", "digest", "sig"), "id").select(F.col("component").alias("key"), "id", "digest", "sig")
     texts = keyed.join(chosen.hint("merge"), ["id", "digest"]).dropDuplicates(["id", "digest"]).select("key", "id", "sig", "text")
     texts = scratch.save(texts, "texts")
-    links = _in_blocks(texts).select(*_KEYS, "block", "id", "sig", "text").mapInArrow(_verified(heavy, share, threshold), "a long, b long")
+    links = _links(texts, _verified(heavy, share, threshold), scratch, "verified")
     classes = connected_components(spark, scratch.save(links.unionByName(copies), "links"))
     out = sketches.select("id", "digest").join(classes, "id", "left").withColumn("class_id", F.coalesce("component", "id"))
     real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias
