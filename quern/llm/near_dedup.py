@@ -46,6 +46,8 @@ ROWS, BANDS = 4, 16
 SAMPLES = ROWS * BANDS
 #: Least equal samples of a promising pair; documents of a block.
 PROMISING, BLOCK = 39, 512
+#: Blocks up to which all pairs of blocks of a key meet at once.
+WIDE = 16
 _NO_ID = -(1 << 63)
 _TABLE = 1 << 16
 
@@ -362,34 +364,40 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, *_KEYS).sortWithinPartitions(*_KEYS)
 
 
-def _links(rows: DataFrame, kernel, scratch: Scratch, name: str) -> DataFrame:
-    """Links (a, b) that connect whatever pairs of rows of a key the kernel links. rows: key, id, ... .
+def _sizes(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(key, blocks) of the keys of more than one row."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    return scratch.save(sizes, f"{name}_sizes")
+
+
+def _links(rows: DataFrame, sizes: DataFrame, kernel, scratch: Scratch, name: str) -> DataFrame:
+    """Links (a, b) that connect whatever pairs of rows of a key the kernel links. rows: key, id, blocks, ... .
 
-    A key of up to BLOCK rows is one group. Of a larger key, one block of pivots meets every
-    other block, which costs twice the rows. What this leaves outside the key's largest
-    component then meets all blocks. So every pair meets but those that are connected already,
-    and no group holds more than two blocks.
+    Up to WIDE blocks, all blocks of a key meet in pairs. Of a larger key, one block of pivots
+    meets every other block, which costs twice the rows; what this leaves outside the key's
+    largest component then meets all blocks. So every pair meets but those that are connected
+    already, and no group holds more than two blocks.
     """
-    rest = [c for c in rows.columns if c not in ("key", "id")]
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    sizes = scratch.save(sizes, f"{name}_sizes")
-    placed = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    partners = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("block") == 0, F.sequence(F.lit(1), F.greatest(F.col("blocks") - 1, F.lit(1)))).otherwise(F.array("block"))
-    first = placed.withColumn("i", F.lit(0)).withColumn("j", F.explode(partners)).select(*_KEYS, "id", F.col("id").alias("part"), *rest)
+    rest = [c for c in rows.columns if c not in ("key", "id", "blocks")]
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    partners = F.when(F.col("blocks") <= WIDE, every).when(block == 0, F.slice(every, 2, F.greatest(F.col("blocks") - 1, F.lit(1)))).otherwise(F.array(F.lit(0)))
+    first = rows.withColumn("block", block).withColumn("other", F.explode(partners))
+    first = first.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", F.col("id").alias("part"), *rest)
     found = scratch.save(_dealt(first).mapInArrow(kernel, "a long, b long"), f"{name}_first")
-    if sizes.where("blocks > 1").isEmpty():
+    if sizes.where(F.col("blocks") > WIDE).isEmpty():
         return found
     parts = connected_components(rows.sparkSession, found).withColumnRenamed("component", "part")
-    large = placed.where("blocks > 1").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
-    main = large.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-    outside = large.join(main, "key").where("part != main").drop("main")
+    wide = rows.where(F.col("blocks") > WIDE)
+    placed = wide.select("key", "id", "blocks").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    main = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+    outside = placed.join(main, "key").where("part != main").drop("main")
     groups = scratch.save(outside.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("groups")), f"{name}_outside")
-    if groups.isEmpty():
-        return found
-    outside = outside.join(groups, "key").withColumn("i", F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    inside = large.join(groups, "key").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("j", F.col("block"))
-    both = outside.select(*_KEYS, "id", "part", *rest).unionByName(inside.select(*_KEYS, "id", "part", *rest))
-    return found.unionByName(scratch.save(_dealt(both).mapInArrow(kernel, "a long, b long"), f"{name}_second"))
+    left = outside.join(groups, "key").withColumn("i", F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")).cast("int")).withColumn("j", F.explode(every))
+    right = placed.join(groups, "key").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("j", block)
+    dealt = left.select(*_KEYS, "id", "part").unionByName(right.select(*_KEYS, "id", "part")).distinct()
+    second = wide.drop("blocks").join(dealt, ["key", "id"]).select(*_KEYS, "id", "part", *rest)
+    return found.unionByName(scratch.save(_dealt(second).mapInArrow(kernel, "a long, b long"), f"{name}_second"))
 
 
 def near_classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
@@ -404,11 +412,14 @@ def near_classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESH
     distinct = sketches.where("sig is not null").groupBy("digest").agg(F.min(F.struct("id", "bands", "sig")).alias("x")).select("digest", "x.*")
     distinct = scratch.save(distinct, "distinct")
     banded = distinct.select(F.explode("bands").alias("key"), "id", "sig")
-    clusters = connected_components(spark, _links(banded, _promising, scratch, "promising"))
+    buckets = _sizes(distinct.select(F.explode("bands").alias("key")), scratch, "buckets")
+    clusters = connected_components(spark, _links(banded.join(buckets.hint("merge"), "key"), buckets, _promising, scratch, "promising"))
     chosen = clusters.join(distinct.select("id", "digest", "sig"), "id").select(F.col("component").alias("key"), "id", "digest", "sig")
-    texts = keyed.join(chosen.hint("merge"), ["id", "digest"]).dropDuplicates(["id", "digest"]).select("key", "id", "sig", "text")
+    chosen = scratch.save(chosen, "chosen")
+    groups = _sizes(chosen, scratch, "groups")
+    texts = keyed.join(chosen.join(groups, "key").hint("merge"), ["id", "digest"]).dropDuplicates(["id", "digest"]).select("key", "id", "blocks", "sig", "text")
     texts = scratch.save(texts, "texts")
-    links = _links(texts, _verified(heavy, share, threshold), scratch, "verified")
+    links = _links(texts, groups, _verified(heavy, share, threshold), scratch, "verified")
     classes = connected_components(spark, scratch.save(links.unionByName(copies), "links"))
     out = sketches.select("id", "digest").join(classes, "id", "left").withColumn("class_id", F.coalesce("component", "id"))
     real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias

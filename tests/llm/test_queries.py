@@ -103,8 +103,9 @@ def test_heavy_shingles_are_exact(spark, small):
     assert {int(h): pytest.approx(x) for h, x in zip(hashes, shares, strict=True)} == want
 
 
-def test_near_dedup_blocks(spark, monkeypatch):
-    """A group larger than a block is still one class."""
+@pytest.mark.parametrize("wide", [1, 3, 16])
+def test_near_dedup_blocks(spark, monkeypatch, wide):
+    """A group larger than a block is still one class, by pairs of blocks or by pivots."""
     rng = np.random.default_rng(0)
     base = [f"t{i}" for i in rng.integers(0, 5000, 300)]
     rows = []
@@ -114,6 +115,7 @@ def test_near_dedup_blocks(spark, monkeypatch):
         rows.append((i, " ".join(own)))
     rows += [(100 + i, " ".join(f"u{j}" for j in rng.integers(0, 5000, 100))) for i in range(20)]
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "WIDE", wide)
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: 0 if i < 70 else i for i, _ in rows}
 
@@ -146,3 +148,20 @@ def test_pipeline_is_its_stages(spark, small):
     assert got.count() == before.count()
     want = {r["doc_id"]: r["n"] for r in before.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert {r["doc_id"]: r["n"] for r in got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()} == want
+
+
+def test_near_dedup_loses_no_link_outside_the_largest_component(spark, monkeypatch):
+    """Two groups that share a key, and chains whose ends are unlike, come out as by brute force."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(3):
+        words = [f"g{g}w{i}" for i in range(200)]
+        for i in range(25):  # a chain: each text replaces a little more
+            words = list(words)
+            for j in rng.integers(0, 200, 2):
+                words[j] = f"g{g}n{i}x{j}"
+            rows.append((100 * g + i, " ".join(words)))
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "WIDE", 1)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 100 * 100 for i, _ in rows}
