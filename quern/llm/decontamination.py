@@ -6,7 +6,8 @@ Words are lower-cased runs of letters and digits, hashed to ``FEATURES`` columns
    matrix T of consecutive ``PASSAGE``-word passages, the product T'T G with a fixed
    Gaussian matrix G. Scaled by idf its columns span the range of the randomised SVD of
    the TF-IDF matrix (Halko et al. 2011; the row scaling of G is part of the test matrix).
-   Each task sends one fixed-size sum; the driver adds and orthogonalises them.
+   Each task sends a fixed-size sum in parts, each part is added in one place, and the
+   driver orthogonalises the whole.
 2. Words become whitened latent vectors, centred on the corpus mean, so a passage is
    a difference of running sums; common words, which tell languages rather than
    contents apart, are null vectors. Windows of each length in ``LENGTHS`` slide over whole
@@ -41,6 +42,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import Words, every, flat, fresh, input_bytes, small_batches, text_blocks
 
 FEATURES, RANK, OVER = 8192, 40, 8
+#: Features that are summed together.
+PART = 128
 #: Words of a passage of the term matrix, and of sliding windows. Windows move by a third of their length.
 PASSAGE, LENGTHS = 54, (3, 6, 12, 18, 27, 40, 60, 90, 135, 200)
 COSINE, SURE, LIKELY, ANSWER, ANSWER_SHARE = 0.62, 0.7, 0.55, 8, 0.75
@@ -71,8 +74,8 @@ def _gauss() -> np.ndarray:
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a task: documents, passages, counts of documents and words per feature, T'T G."""
-    g, docs, passages = _gauss(), 0, 0
+    """Of each part of the features: documents, counts of documents and words per feature, rows of T'T G."""
+    g, docs = _gauss(), 0
     df, tf, product = np.zeros(FEATURES), np.zeros(FEATURES), np.zeros((FEATURES, RANK + OVER))
     size = PASSAGE
     for t in text_blocks(batches):
@@ -90,7 +93,6 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             df += seen.sum(0)
         at = np.arange(len(w)) - np.repeat(w.ptr[:-1], n)
         begin = np.flatnonzero(at % size == 0)
-        passages += len(begin)
         step = 256
         for lo in range(0, len(begin), step):
             a, b = begin[lo], begin[lo + step] if lo + step < len(begin) else len(w)
@@ -102,39 +104,41 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ranked = own[order]
             first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
             product[ranked[first]] += np.add.reduceat(y[each[order]], first)
-    yield pa.RecordBatch.from_pydict(
-        {"docs": [docs], "passages": [passages], "df": [df.tobytes()], "tf": [tf.tobytes()], "product": pa.array([product.astype(np.float32).tobytes()], pa.binary())}
-    )
+    rows = [(k, docs, *(x[k * PART : (k + 1) * PART].astype(kind).tobytes() for x, kind in ((df, "<f8"), (tf, "<f8"), (product, "<f4")))) for k in range(FEATURES // PART)]
+    yield _sums(rows)
+
+
+def _sums(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["part", "docs", "df", "tf", "product"])
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    docs, passages, sums = 0, 0, [np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(FEATURES * (RANK + OVER))]
+    """Sums of each part of the features: a fixed number of fixed-size rows."""
+    kinds = ("<f8", "<f8", "<f4")
+    totals: dict[int, list] = {}
     for batch in batches:
         for r in batch.to_pylist():
-            docs, passages = docs + r["docs"], passages + r["passages"]
-            for total, c, kind in zip(sums, ("df", "tf", "product"), ("<f8", "<f8", "<f4"), strict=True):
-                total += np.frombuffer(r[c], kind)
-    if docs:
-        yield pa.RecordBatch.from_pydict(
-            {"docs": [docs], "passages": [passages], "df": [sums[0].tobytes()], "tf": [sums[1].tobytes()], "product": pa.array([sums[2].astype(np.float32).tobytes()], pa.binary())}
-        )
-
-
-_SUMS = "docs long, passages long, df binary, tf binary, product binary"
+            new = [np.frombuffer(r[c], kind).astype(np.float64) for c, kind in zip(("df", "tf", "product"), kinds, strict=True)]
+            old = totals.setdefault(r["part"], [0, *(np.zeros_like(x) for x in new)])
+            old[0] += r["docs"]
+            for total, x in zip(old[1:], new, strict=True):
+                total += x
+    if totals:
+        yield _sums([(k, n, *(x.astype(kind).tobytes() for x, kind in zip(sums, kinds, strict=True))) for k, (n, *sums) in sorted(totals.items())])
 
 
 def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Whitened, centred vector of each feature (FEATURES x RANK), and which features are rare."""
-    parts = docs.select("text").mapInArrow(_gather, _SUMS)
-    fan_in = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    # one row of a fixed size
-    parts = parts.repartition(fan_in).mapInArrow(_add, _SUMS).repartition(1).mapInArrow(_add, _SUMS).collect()
+    parts = docs.select("text").mapInArrow(_gather, "part int, docs long, df binary, tf binary, product binary")
+    # every part of the features is summed in one place; FEATURES / PART rows of a fixed size come back
+    parts = parts.repartition(FEATURES // PART, "part").mapInArrow(_add, "part int, docs long, df binary, tf binary, product binary").collect()
     n, df, tf, product = 0, np.zeros(FEATURES), np.zeros(FEATURES), np.zeros((FEATURES, RANK + OVER))
     for r in parts:
-        n += r["docs"]
-        df += np.frombuffer(r["df"])
-        tf += np.frombuffer(r["tf"])
-        product += np.frombuffer(r["product"], "<f4").reshape(FEATURES, -1)
+        own = slice(r["part"] * PART, (r["part"] + 1) * PART)
+        n = r["docs"]
+        df[own], tf[own] = np.frombuffer(r["df"]), np.frombuffer(r["tf"])
+        product[own] = np.frombuffer(r["product"], "<f4").reshape(PART, -1)
     if n == 0:
         return np.zeros((FEATURES, RANK), np.float32), np.ones(FEATURES, bool)
     idf = np.log((1 + n) / (1 + df)) + 0.1
