@@ -114,11 +114,16 @@ def bit_operation(rows: DataFrame, operation: str) -> DataFrame:
     return codes.select(F.unhex(F.array_join(F.transform("codes", lambda x: F.lpad(F.hex(x), 2, "0")), "")).alias("value"))
 
 
-def bit_field(value: Column, kind: str, offset: int) -> Column:
-    """A packed number: u1 to u63 or i1 to i64 at a bit offset."""
+def _bounds(kind: str) -> tuple[int, int, int]:
     signed, width = kind[0] == "i", int(kind[1:])
     if kind[0] not in "iu" or not 1 <= width <= (64 if signed else 63):
         raise ValueError(f"unknown type {kind}")
+    return width, -(1 << width - 1) if signed else 0, (1 << width - 1) - 1 if signed else (1 << width) - 1
+
+
+def bit_field(value: Column, kind: str, offset: int) -> Column:
+    """A packed number: u1 to u63 or i1 to i64 at a bit offset."""
+    width, signed = _bounds(kind)[0], kind[0] == "i"
     out = F.lit(0).cast("bigint")
     for i in range(offset // 8, (offset + width - 1) // 8 + 1):
         lo, hi = max(offset, 8 * i), min(offset + width, 8 * i + 8)
@@ -129,6 +134,39 @@ def bit_field(value: Column, kind: str, offset: int) -> Column:
     return out
 
 
+def field_update(kind: str, offset: int, by: int, increment: bool = False, overflow: str = "WRAP"):
+    """Writes a packed number, or adds to it: a function of a binary column to (value, reply).
+
+    Beyond the type's range it wraps, saturates (SAT) or, with FAIL, changes nothing and replies null. The reply is the
+    old number of a write and the new one of an addition. Values grow by zero bytes as needed.
+    """
+    width, low, high = _bounds(kind)
+    if overflow not in ("WRAP", "SAT", "FAIL"):
+        raise ValueError(f"unknown overflow {overflow}")
+
+    def one(raw: bytes | None) -> tuple[bytes, int | None]:
+        size = max(len(raw or b""), (offset + width + 7) // 8)
+        whole = int.from_bytes((raw or b"").ljust(size, b"\0"), "big")
+        shift = 8 * size - offset - width
+        old = whole >> shift & (1 << width) - 1
+        old -= (1 << width) * (old > high)
+        new = old + by if increment else by
+        if not low <= new <= high:
+            if overflow == "FAIL":
+                return raw or b"", None
+            new = min(max(new, low), high) if overflow == "SAT" else (new - low) % (1 << width) + low
+        bits = new & (1 << width) - 1
+        whole = whole & ~(((1 << width) - 1) << shift) | bits << shift
+        return whole.to_bytes(size, "big"), new if increment else old
+
+    @F.pandas_udf("value binary, reply long")
+    def run(values: pd.Series) -> pd.DataFrame:
+        done = [one(None if v is None else bytes(v)) for v in values]
+        return pd.DataFrame({"value": [v for v, _ in done], "reply": pd.array([r for _, r in done], "Int64")})
+
+    return run
+
+
 def common_subsequence(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Adds the longest common subsequence of two text columns and its length."""
 

@@ -68,6 +68,8 @@ class SearchCatalog:
         self.source_of: dict[str, str] = {}
         self.aliases: dict[str, str] = {}
         self.synonyms: dict[str, dict[str, set[str]]] = {}
+        self.cursors: dict[int, tuple[DataFrame, int, int]] = {}
+        self.settings: dict[str, str] = {}
         self.terms = spark.createDataFrame([], "dict string, term string")
         self.suggestions = spark.createDataFrame([], "key string, string string, score double, payload string")
 
@@ -304,7 +306,7 @@ class SearchCatalog:
             params = dict(zip(map(str, pairs[::2]), pairs[1::2], strict=True))
             rest = Args(rest.words[:at] + tail.words[tail.at :])
         verbatim = "VERBATIM" in words
-        p, limited = aggregate(ix, query, params, verbatim=verbatim), False
+        p, limited, page = aggregate(ix, query, params, verbatim=verbatim), False, None
         while rest:
             match word := rest.upper():
                 case "LOAD":
@@ -341,17 +343,45 @@ class SearchCatalog:
                 case "LIMIT":
                     p, limited = p.limit(rest.number(), rest.number()), True
                 case "WITHCURSOR":
+                    page = 1000
                     while rest.peek() in ("COUNT", "MAXIDLE"):
-                        rest.next(), rest.next()
-                    limited = True  # a cursor reads everything: the frame is the cursor
+                        if rest.upper() == "COUNT":
+                            page = rest.number()
+                        else:
+                            rest.next()
+                    limited = True
                 case "VERBATIM":
                     pass
                 case "DIALECT" | "TIMEOUT":
                     rest.next()
                 case _:
                     raise CommandError(f"unknown step {word}")
+        if page is not None:  # pages come in the pipeline's order, so it always has one
+            self.last_cursor = max(self.cursors, default=0) + 1
+            self.cursors[self.last_cursor] = ((p if p.sorts or p.page else p.sortby(*p.key)).frame(), 0, page)
+            return self._ft_cursor(Args(["READ", "", self.last_cursor]))
         return (p if limited else p.limit(0, 10)).frame()
 
+    def _ft_cursor(self, args: Args) -> DataFrame:
+        """READ gives the next page; an empty one ends the cursor."""
+        word, _, n = args.upper(), args.next(), args.number()
+        if n not in self.cursors:
+            raise CommandError("no such cursor")
+        if word == "DEL":
+            del self.cursors[n]
+            return self._ok()
+        frame, at, size = self.cursors[n]
+        size = args.number() if args.take("COUNT") else size
+        self.cursors[n] = (frame, at + size, size)
+        return frame.offset(at).limit(size) if at else frame.limit(size)
+
+    def _ft_config(self, args: Args) -> DataFrame:
+        if args.upper() == "SET":
+            self.settings[args.upper()] = str(args.next())
+            return self._ok()
+        name = args.upper()
+        return self._rows([x for x in sorted(self.settings.items()) if name in ("*", x[0])], "name string, value string")
+
     def _ft_hybrid(self, args: Args) -> DataFrame:
         ix, given, query, field, vector = self.index(str(args.next())), {}, "*", None, None
         params: dict = {}

@@ -32,6 +32,16 @@ def test_aggregate(catalog):
     assert [tuple(r) for r in rows] == [("quick fox", 24.0), ("slow turtle", 50.0)]
 
 
+def test_cursor(catalog):
+    first = catalog.run("FT.AGGREGATE idx * LOAD 1 @title SORTBY 2 @title ASC WITHCURSOR COUNT 2").collect()
+    n = catalog.last_cursor
+    assert [r["title"] for r in first] == ["quick fox", "quick tool"]
+    assert [r["title"] for r in catalog.run(f"FT.CURSOR READ idx {n}").collect()] == ["slow turtle"] and catalog.run(f"FT.CURSOR READ idx {n}").count() == 0
+    catalog.run(f"FT.CURSOR DEL idx {n}")
+    with pytest.raises(CommandError):
+        catalog.run(f"FT.CURSOR READ idx {n}")
+
+
 def test_hybrid(catalog):
     assert keys(catalog.run("FT.HYBRID", "idx", "SEARCH", "quick", "VSIM", "@v", "$q", "KNN", 2, "K", 2, "COMBINE", "RRF", 2, "CONSTANT", 60, "PARAMS", 2, "q", [1.0, 0.0]))[0] == "1"
 
