@@ -8,6 +8,7 @@ by handing over blocks of whole documents (``text_blocks``).
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time by the vectorised kernels.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 WORD_PATTERN = "[^ \\t-\\r]+"
 
@@ -31,6 +32,7 @@ _Q = np.uint64(0xD6E8FEB86659FD93)
 _MASK = (1 << 64) - 1
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _OWN_SCRATCH: dict[str, str] = {}
+_LIBC = ctypes.CDLL(None)
 
 
 #: Arrow batches that feed the kernels: rows of long texts must not fill a worker.
@@ -218,6 +220,15 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
     """Regroup batches into tables of about ``limit`` bytes of text; a longer text stands alone."""
+    try:
+        yield from _blocks(batches, column, limit)
+    finally:  # workers stay for later tasks, but not what this one has freed
+        pa.default_memory_pool().release_unused()
+        if hasattr(_LIBC, "malloc_trim"):
+            _LIBC.malloc_trim(0)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
     held, size = [], 0
     for batch in batches:
         if batch.num_rows == 0:

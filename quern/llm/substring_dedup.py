@@ -40,6 +40,8 @@ from quern.llm.common import Scratch, Words, gram_hashes, input_bytes, sliding_m
 WINDOW, GRAM, MOST = 20, 4, 64
 #: Input bytes (as stored) for a bucket, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 1 << 20, 256
+#: Text bytes of a block that drops its own repeats.
+CUT_BYTES = 4 << 20
 _NO_ID = -(1 << 63)
 
 _ROUTED = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("spans", pa.binary()), ("packed", pa.binary())])
@@ -156,7 +158,7 @@ def _rows(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def _cut(window: int, gram: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for t in text_blocks(batches):
+        for t in text_blocks(batches, limit=CUT_BYTES):
             doc, tie = t["doc_id"].to_numpy(), t["tie"].to_numpy()
             order = np.lexsort((tie, doc))
             order = order[np.concatenate(([True], (np.diff(doc[order]) != 0) | (np.diff(tie[order]) != 0)))]
