@@ -6,7 +6,7 @@ from quern.plans.commands import CommandError, SearchCatalog
 @pytest.fixture(scope="module")
 def catalog(spark):
     c = SearchCatalog(spark)
-    rows = [("1", "quick fox", "redis search", "book", 12.0, [1.0, 0.0]), ("2", "slow turtle", "redis guide", "book", 25.0, [0.0, 1.0]), ("3", "quick tool", "storage engine", "tool", 7.0, [0.9, 0.1])]
+    rows = [("1", "quick fox", "memory search", "book", 12.0, [1.0, 0.0]), ("2", "slow turtle", "memory guide", "book", 25.0, [0.0, 1.0]), ("3", "quick tool", "storage engine", "tool", 7.0, [0.9, 0.1])]
     c.register("doc:", spark.createDataFrame(rows, "key string, title string, body string, category string, price double, v array<double>"), "key")
     c.run("FT.CREATE idx ON HASH PREFIX 1 doc: SCHEMA title TEXT body TEXT NOSTEM category TAG price NUMERIC SORTABLE v VECTOR FLAT 4 DIM 2 DISTANCE_METRIC L2")
     return c
@@ -18,7 +18,7 @@ def keys(df):
 
 def test_search(catalog):
     assert sorted(keys(catalog.run("FT.SEARCH idx quick NOCONTENT"))) == ["1", "3"]
-    assert keys(catalog.run("FT.SEARCH idx '@category:{book} redis' SORTBY price DESC LIMIT 0 1")) == ["2"]
+    assert keys(catalog.run("FT.SEARCH idx '@category:{book} memory' SORTBY price DESC LIMIT 0 1")) == ["2"]
     assert catalog.run("FT.SEARCH idx * LIMIT 0 0").first()["total"] == 3
     assert keys(catalog.run("FT.SEARCH idx * FILTER price (7 20 RETURN 3 title AS t")) == ["1"]
     assert keys(catalog.run("FT.SEARCH", "idx", "*=>[KNN 2 @v $q]", "PARAMS", 2, "q", [1.0, 0.0])) == ["1", "3"]
