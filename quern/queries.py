@@ -330,7 +330,7 @@ def vector_set_similar(spark, d):
     return vectorsets.similar(vs, "v", vector_zero(spark, d), 12, ".label in (1, 3) && .n > 20").select("id", F.round("score", 6).alias("score"))
 
 
-@_register("SELECT count(*) AS card, max(len(embedding)) AS dim, 'v' AS key FROM embeddings")
+@_register("SELECT count(*) AS card, CAST(max(len(embedding)) AS INT) AS dim, 'v' AS key FROM embeddings")
 def vector_set_info(spark, d):
     vs = K.table(spark, d, "embeddings").select(F.lit("v").alias("key"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), F.lit(None).cast("string").alias("attrs"))
     return vectorsets.info(vs)
@@ -392,12 +392,12 @@ def set_is_member(spark, d):
 # --- sorted sets ----------------------------------------------------------------------------------
 
 
-@_register("SELECT c_mktsegment AS key, c_name AS member, c_acctbal AS score, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_name) - 1 AS rank FROM customer")
+@_register("SELECT c_mktsegment AS key, c_name AS member, c_acctbal AS score, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_name) - 1 AS INT) AS rank FROM customer")
 def zset_ranks(spark, d):
     return zsets.ranked(customer_zset(spark, d))
 
 
-@_register("SELECT c_mktsegment AS key, c_name AS member, c_acctbal AS score, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_name DESC) - 1 AS rank FROM customer QUALIFY rank < 5")
+@_register("SELECT c_mktsegment AS key, c_name AS member, c_acctbal AS score, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_name DESC) - 1 AS INT) AS rank FROM customer QUALIFY rank < 5")
 def zset_top(spark, d):
     return zsets.top(customer_zset(spark, d), 5)
 
@@ -442,12 +442,12 @@ def zset_pop(spark, d):
 # --- hashes and lists --------------------------------------------------------------------------
 
 
-@_register("SELECT 'part:' || p_partkey AS key, 'p_name' AS field, strlen(p_name) AS length FROM part UNION ALL SELECT 'part:' || p_partkey, 'p_brand', strlen(p_brand) FROM part UNION ALL SELECT 'part:' || p_partkey, 'p_type', strlen(p_type) FROM part UNION ALL SELECT 'part:' || p_partkey, 'p_size', strlen(CAST(p_size AS VARCHAR)) FROM part")
+@_register("SELECT 'part:' || p_partkey AS key, 'p_name' AS field, CAST(strlen(p_name) AS INT) AS length FROM part UNION ALL SELECT 'part:' || p_partkey, 'p_brand', CAST(strlen(p_brand) AS INT) FROM part UNION ALL SELECT 'part:' || p_partkey, 'p_type', CAST(strlen(p_type) AS INT) FROM part UNION ALL SELECT 'part:' || p_partkey, 'p_size', CAST(strlen(CAST(p_size AS VARCHAR)) AS INT) FROM part")
 def hash_value_lengths(spark, d):
     return hashes.value_lengths(part_hashes(spark, d))
 
 
-@_register("SELECT 'part:' || p_partkey AS key, 4 AS fields FROM part")
+@_register("SELECT 'part:' || p_partkey AS key, CAST(4 AS BIGINT) AS fields FROM part")
 def hash_lengths(spark, d):
     return hashes.lengths(part_hashes(spark, d))
 
@@ -473,7 +473,7 @@ def list_arrays(spark, d):
     return lists.as_array(order_lists(spark, d))
 
 
-@_register("SELECT 'c:' || o_custkey AS key, o_orderkey AS pos, CAST(o_orderkey AS VARCHAR) AS value, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) - 1 AS index FROM orders QUALIFY index < 2")
+@_register("SELECT 'c:' || o_custkey AS key, o_orderkey AS pos, CAST(o_orderkey AS VARCHAR) AS value, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) - 1 AS INT) AS index FROM orders QUALIFY index < 2")
 def list_tails(spark, d):
     return lists.heads(order_lists(spark, d), 2, tail=True)
 
@@ -486,7 +486,7 @@ def list_slice(spark, d):
 # --- strings, bits, sketches -------------------------------------------------------------------
 
 
-@_register("SELECT c_custkey, strlen(c_name) AS bytes, substr(c_name, strlen(c_name) - 3, 3) AS piece FROM customer")
+@_register("SELECT c_custkey, CAST(strlen(c_name) AS INT) AS bytes, substr(c_name, strlen(c_name) - 3, 3) AS piece FROM customer")
 def string_ranges(spark, d):
     return K.table(spark, d, "customer").select("c_custkey", strings.byte_length(F.col("c_name")).alias("bytes"), strings.byte_range(F.col("c_name"), -4, -2).cast("string").alias("piece"))
 
@@ -520,7 +520,7 @@ def hll_estimates(spark, d):
     return hll.estimates(hll.registers(rows))
 
 
-@_register("SELECT c_nationkey AS key, bit_count(bit_or(1::BIGINT << CAST(c_custkey % 50 AS INT))) AS distinct_bits FROM customer GROUP BY 1")
+@_register("SELECT c_nationkey AS key, CAST(bit_count(bit_or(1::BIGINT << CAST(c_custkey % 50 AS INT))) AS INT) AS distinct_bits FROM customer GROUP BY 1")
 def bitmap_per_key(spark, d):
     bit = F.expr("shiftleft(1L, cast(c_custkey % 50 as int))")
     return K.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("key")).agg(F.bit_count(F.bit_or(bit)).alias("distinct_bits"))
@@ -570,7 +570,7 @@ def _group_log(spark, d):
 
 
 @_register("""WITH x AS (SELECT event_type AS key, (epoch_us(ts) // 1000) AS ms, event_id AS seq, row_number() OVER (PARTITION BY event_type ORDER BY (epoch_us(ts) // 1000), event_id) AS n FROM events)
-SELECT key, ms, seq, CASE WHEN n <= 10 OR n > 30 THEN 'b' ELSE 'a' END AS consumer, CASE WHEN n <= 10 THEN 2 ELSE 1 END AS deliveries FROM x WHERE n <= 50""")
+SELECT key, ms, seq, CASE WHEN n <= 10 OR n > 30 THEN 'b' ELSE 'a' END AS consumer, CAST(CASE WHEN n <= 10 THEN 2 ELSE 1 END AS BIGINT) AS deliveries FROM x WHERE n <= 50""")
 def stream_group_pending(spark, d):
     found = streams.replay_groups(event_streams(spark, d), _group_log(spark, d))
     return found.where("cmd = 'PENDING'").select("key", "ms", "seq", "consumer", "deliveries")
