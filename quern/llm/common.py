@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,25 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{_OWN_SCRATCH[app]}"
 
 
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """When the program ends, so do the folders of its operator calls, where the session still can."""
+    for spark, base in _MADE:
+        if spark.sparkContext._jsc is not None:
+            try:
+                _delete(spark, base)
+            except (Py4JError, OSError):
+                return  # the JVM has gone first
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Written intermediate tables of one operator call.
 
@@ -69,6 +89,7 @@ class Scratch:
         self.spark = spark
         small_batches(spark)
         self.base = f"{scratch_root(spark)}/quern-{uuid.uuid4().hex}"
+        _MADE.append((spark, self.base))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -82,9 +103,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.base}/{name}")
 
 
 def input_bytes(df: DataFrame) -> int:
