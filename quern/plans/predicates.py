@@ -33,12 +33,14 @@ class Compiled:
     ranged: Q.VectorRange | None = None
     slop: int | None = None
     inorder: bool = False
+    scope: Column | None = None
+    in_python: bool = False
 
-    # a token column is computed once, in a projection under the filter
     def token_column(self, f: Field) -> Column:
+        """The tokens: a column of their own, or a field of the scope that holds them."""
         name = f"_tokens_{f.name}"
         self.tokens[name] = self.index.tokens(f, raw=self.keep_stopwords)
-        return F.col(f"`{name}`")
+        return F.col(f"`{name}`") if self.scope is None else self.scope[name]
 
     def _texts(self, names: tuple[str, ...] | None) -> list[Field]:
         found = self.index.text_fields(names)
@@ -70,6 +72,7 @@ class Compiled:
             own = self.token_column(f)
             part = F.array_contains(own, equal[0]) if len(equal) == 1 else F.arrays_overlap(own, F.array(*map(F.lit, equal)))
             if not self.verbatim and f.stem and self.index.language == "english":
+                self.in_python = True
                 part = part | F.array_contains(T.stems(own), stem(equal[0]))
             if not self.verbatim and f.phonetic:
                 part = part | F.exists(own, lambda t: T.soundex(t) == T.soundex(F.lit(equal[0])))
@@ -93,6 +96,7 @@ class Compiled:
             if slop == 0 and inorder:
                 near = F.contains(F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" ")), F.lit(f" {' '.join(words)} "))
             else:
+                self.in_python = True
                 near = T.phrase_within(slop, inorder, words)(own)
             out = out | (every & near)
         return out

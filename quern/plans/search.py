@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,15 +17,44 @@ from quern.plans.scoring import with_score
 
 def _matched(index: Index, query: str, params: dict | None, *, verbatim=False, nostopwords=False, infields=None, slop=None, inorder=False, extra=()) -> tuple[DataFrame, DataFrame, Compiled]:
     """All documents with token columns, those that match, and the compiled plan."""
-    plan = Compiled(index, params or {}, verbatim, nostopwords, slop=slop, inorder=inorder)
-    tree = Q.parse(query, params)
+    def compiled(scope: Column | None = None) -> Compiled:
+        return Compiled(index, params or {}, verbatim, nostopwords, slop=slop, inorder=inorder, scope=scope)
+
+    plan, tree = compiled(), Q.parse(query, params)
+    names = tuple(infields) if infields else None
     if slop is not None and isinstance(tree, Q.And) and all(isinstance(c, Q.Text) for c in tree.children):
         tree = Q.Phrase(tuple(c.word for c in tree.children), slop, inorder)
-    held = plan(tree, tuple(infields) if infields else None)
+    plan(tree, names)
+    source = index.documents()
+    documents = source.withColumns(plan.tokens) if plan.tokens else source
+    # what needs no tokens is a filter that scans can take
+    hits, texts = source, []
+    for part in tree.children if isinstance(tree, Q.And) else (tree,):
+        own = compiled()
+        held = own(part, names)
+        if own.tokens:
+            texts.append((part, own.in_python))
+        else:
+            hits = hits.where(held)
     for f in extra:
-        held = held & f(plan)
-    documents = index.documents().withColumns(plan.tokens) if plan.tokens else index.documents()
-    return documents, documents.where(held), plan
+        hits = hits.where(f(plan))
+    # the rest tokenises once a row: a filter on token columns would compute them anew at every mention
+    bound = [p for p, in_python in texts if not in_python]
+    if bound:
+        own = compiled()
+        for p in bound:
+            own(p, names)
+
+        def held_in(scope: Column) -> Column:
+            inside = compiled(scope)
+            return reduce(lambda a, b: a & b, [inside(p, names) for p in bound])
+
+        hits = hits.where(F.exists(F.array(F.struct(*[c.alias(n) for n, c in own.tokens.items()])), held_in))
+    hits = hits.withColumns(plan.tokens) if plan.tokens else hits
+    for p, in_python in texts:
+        if in_python:
+            hits = hits.where(compiled()(p, names))
+    return documents, hits, plan
 
 
 def search(
