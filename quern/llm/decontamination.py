@@ -14,6 +14,12 @@ Words are lower-cased runs of letters and digits, hashed to ``FEATURES`` columns
    documents by a third of their length and are compared by cosine with the benchmark
    items of that length class: those so long that, wherever a copy begins, some window
    lies within it.
+   Whatever the cosine misses (paraphrases, items of common words only, whose vectors are
+   null) comes by an exact way: a common subsequence of LIKELY of an item's words leaves out at
+   most those of its ``drop`` most frequent words, so so many of the others, its key words,
+   must lie in the stretch around the window that step 3 reads (``_Keys``). No pair
+   of window and item that step 3 would accept fails this, so what is found depends neither
+   on the cosine nor on the latent space.
 3. A candidate whose window lacks the item's rarer words, which is a bound on what may
    follow, goes; others are verified on the words themselves: the longest common subsequence of
    item and window (with as much on either side as the item is longer) over the item's length. From
@@ -50,6 +56,8 @@ COSINE, SURE, LIKELY, ANSWER, ANSWER_SHARE = 0.62, 0.7, 0.55, 8, 0.75
 BENCHMARK_BYTES, ITEM_BLOCK = 64 << 20, 20_000
 #: Share of all words from which a feature is common: the bound on common subsequences counts rarer ones only.
 COMMON = 0.001
+#: Items whose key words are looked up together.
+GROUP = 512
 SEED = 4242
 
 _PLAIN = np.full(256, 32, np.uint8)  # letters lower-cased, digits, wider characters; the rest separates
@@ -128,8 +136,8 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _sums([(k, n, *(x.astype(kind).tobytes() for x, kind in zip(sums, kinds, strict=True))) for k, (n, *sums) in sorted(totals.items())])
 
 
-def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Whitened, centred vector of each feature (FEATURES x RANK), and which features are rare."""
+def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whitened, centred vector of each feature (FEATURES x RANK), which features are rare, and the words of each."""
     parts = docs.select("text").mapInArrow(_gather, "part int, docs long, df binary, tf binary, product binary")
     # every part of the features is summed in one place; FEATURES / PART rows of a fixed size come back
     parts = parts.repartition(FEATURES // PART, "part").mapInArrow(_add, "part int, docs long, df binary, tf binary, product binary").collect()
@@ -140,7 +148,7 @@ def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         df[own], tf[own] = np.frombuffer(r["df"]), np.frombuffer(r["tf"])
         product[own] = np.frombuffer(r["product"], "<f4").reshape(PART, -1)
     if n == 0:
-        return np.zeros((FEATURES, RANK), np.float32), np.ones(FEATURES, bool)
+        return np.zeros((FEATURES, RANK), np.float32), np.ones(FEATURES, bool), tf
     idf = np.log((1 + n) / (1 + df)) + 0.1
     # A = T diag(idf); A'A Omega with Omega = diag(1 / idf) G; singular values from the projected A'A Omega
     sketch = idf[:, None] * product
@@ -154,7 +162,7 @@ def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     vectors -= (tf @ vectors) / tf.sum()
     rare = tf < COMMON * tf.sum()
     vectors *= rare[:, None]
-    return (vectors / max(np.abs(vectors).max(), 1e-12)).astype(np.float32), rare
+    return (vectors / max(np.abs(vectors).max(), 1e-12)).astype(np.float32), rare, tf
 
 
 def places(words: list) -> dict:
@@ -176,10 +184,71 @@ def lcs(where: dict, n: int, b: list) -> int:
     return n - v.bit_count()
 
 
+class _Keys:
+    """The key words of some items of a length class: which stretches of documents hold enough of them."""
+
+    def __init__(self, own: list[int], words: list[list[int]], length: int, tf: np.ndarray):
+        self.own, self.length = np.array(own, np.int64), length
+        key, item, need = [], [], []
+        for k, i in enumerate(own):
+            kinds, n = np.unique(np.array(words[i], np.uint64), return_counts=True)
+            least = int(np.ceil(LIKELY * len(words[i]) - 1e-9))
+            order = np.argsort(-tf[_columns(kinds)], kind="stable")
+            drop = np.cumsum(n[order]) <= least // 2
+            need.append(least - int(n[order][drop].sum()))
+            key.append(kinds[order][~drop])
+            item.append(np.full(len(key[-1]), k))
+        key, item = np.concatenate(key), np.concatenate(item)
+        order = np.argsort(key, kind="stable")
+        self.key, first = np.unique(key[order], return_index=True)
+        self.item, self.ptr = item[order], np.append(first, len(key))
+        self.need, self.size = np.array(need, np.int64), np.array([len(words[i]) for i in own], np.int64)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.key >> np.uint64(44)).astype(np.int64)] = True
+
+    def pairs(self, h: np.ndarray, base: np.ndarray, n: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows (numbers) and items of which the window's stretch holds enough key words.
+
+        Document d has the words base[d]:base[d] + n[d] of h and the windows first[d]:first[d] + count[d].
+        """
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+        k = np.minimum(np.searchsorted(self.key, h[at]), len(self.key) - 1)
+        same = self.key[k] == h[at]
+        at, k = at[same], k[same]
+        each = self.ptr[k + 1] - self.ptr[k]
+        hit = np.repeat(at, each)
+        item = self.item[np.repeat(self.ptr[k + 1] - np.cumsum(each), each) + np.arange(len(hit))]
+        order = np.argsort(item, kind="stable")
+        hit, item = hit[order], item[order]
+        # a stretch that holds enough holds as many consecutive hits of the item
+        begin = np.arange(len(hit))
+        last = begin + self.need[item] - 1
+        begin = begin[last < len(hit)]
+        last = last[begin]
+        begin = begin[(item[begin] == item[last]) & (hit[last] - hit[begin] < 2 * self.size[item[begin]])]
+        if not len(begin):
+            return none
+        item, x, y = item[begin], hit[begin], hit[begin + self.need[item[begin]] - 1]
+        doc = np.searchsorted(base, x, side="right") - 1  # of empty documents at the same place, the last has the words
+        inside = y < base[doc] + n[doc]
+        item, x, y, doc = item[inside], x[inside], y[inside], doc[inside]
+        x, y, size, step = x - base[doc], y - base[doc], self.size[item], max(1, self.length // 3)
+        low = np.clip(-((size - 1 - y) // step), 0, count[doc] - 1)
+        high = np.where(n[doc] <= x + size, count[doc] - 1, np.minimum((x + size - self.length) // step, count[doc] - 1))
+        many = np.maximum(high - low + 1, 0)
+        nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        begins = np.minimum(nth * step, np.repeat(np.maximum(n[doc] - self.length, 0), many))
+        fit = begins + np.repeat(size, many) > np.repeat(y, many)
+        row, item = (np.repeat(first[doc], many) + nth)[fit], np.repeat(item, many)[fit]
+        both = np.unique(row * len(self.own) + item)
+        return both // len(self.own), self.own[both % len(self.own)]
+
+
 class Items:
     """A block of benchmark items: words, length class, latent vectors."""
 
-    def __init__(self, ids: list[int], texts: list[str], space: np.ndarray, rare: np.ndarray):
+    def __init__(self, ids: list[int], texts: list[str], space: np.ndarray, rare: np.ndarray, tf: np.ndarray):
         w = plain_words(pa.array(texts, pa.string()))
         h = w.hashes()
         self.rare = rare
@@ -197,6 +266,7 @@ class Items:
             f = _columns(np.array(words, np.uint64))
             self.has[i, f[rare[f]]] = 1
             self.need[i] = int(np.ceil(LIKELY * len(f) - 1e-9)) - int((~rare[f]).sum())
+        self.keys = {length: [_Keys(own[k : k + GROUP], self.words, length, tf) for k in range(0, len(own), GROUP)] for length, own in self.of.items()}
         self.vectors = {}
         for length, own in self.of.items():
             x = np.array([space[_columns(np.array(self.words[i], np.uint64))].sum(0) for i in own], np.float32).reshape(-1, RANK)
@@ -247,24 +317,28 @@ def _search(items: Items, cosine: float, names: tuple[str, str]):
                             continue
                         step = max(1, length // 3)
                         count = np.where(n > 0, 1 + np.maximum(0, -(-(n - length) // step)), 0)
+                        first = np.cumsum(count) - count
                         doc = np.repeat(np.arange(hi - lo), count)
-                        nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                        nth = np.arange(len(doc)) - np.repeat(first, count)
                         begin = np.minimum(nth * step, np.maximum(n[doc] - length, 0)) + base[doc]
                         end = np.minimum(begin + length, base[doc] + n[doc])
                         x = total[at[end]] - total[at[begin]]
                         x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+                        near = [k.pairs(h[a:b], base, n, first, count) for k in items.keys[length]]
                         for s in range(0, len(x), 8192):  # the comparison table stays bounded
                             row, col = np.nonzero(x[s : s + 8192] @ items.vectors[length].T >= cosine)
-                            row, item = row + s, own[col]
-                            margin = items.size[item]
-                            left = np.maximum(base[doc[row]], end[row] - margin) + a
-                            right = np.minimum(base[doc[row]] + n[doc[row]], begin[row] + margin) + a
-                            fit = items.shared(f, left, right, item) >= items.need[item]
-                            for r, i, u, v in zip(row[fit].tolist(), item[fit].tolist(), left[fit].tolist(), right[fit].tolist(), strict=True):
-                                d = int(doc[r])
-                                share = judge(i, h[u:v].tolist())
-                                if share and (share, -items.ids[i]) > best.get(lo + d, (0.0, 0)):
-                                    best[lo + d] = (share, -items.ids[i])
+                            near.append((row + s, own[col]))
+                        both = np.unique(np.concatenate([row * len(items.ids) + item for row, item in near]))
+                        row, item = both // len(items.ids), both % len(items.ids)
+                        margin = items.size[item]
+                        left = np.maximum(base[doc[row]], end[row] - margin) + a
+                        right = np.minimum(base[doc[row]] + n[doc[row]], begin[row] + margin) + a
+                        fit = items.shared(f, left, right, item) >= items.need[item]
+                        for r, i, u, v in zip(row[fit].tolist(), item[fit].tolist(), left[fit].tolist(), right[fit].tolist(), strict=True):
+                            d = int(doc[r])
+                            share = judge(i, h[u:v].tolist())
+                            if share and (share, -items.ids[i]) > best.get(lo + d, (0.0, 0)):
+                                best[lo + d] = (share, -items.ids[i])
             found = [best.get(d) for d in range(t.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [*(t[c].combine_chunks() for c in t.column_names), pa.array([x and -x[1] for x in found], pa.int64()), pa.array([x[0] if x else 0.0 for x in found], pa.float64())],
@@ -286,7 +360,7 @@ def _chunks(ptr: np.ndarray, words: int) -> Iterator[tuple[int, int]]:
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), cosine: float = COSINE, names: tuple[str, str] = ("item", "share")) -> DataFrame:
     """Columns ``keep`` of docs (text with them), the best matching leaked item or null, and the share of its words found in order."""
     small_batches(spark)
-    space, rare = latent_space(docs)
+    space, rare, tf = latent_space(docs)
     unique = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
     if input_bytes(benchmark) <= BENCHMARK_BYTES:
         blocks = [unique.collect()]
@@ -297,7 +371,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: tupl
     kept, out = wanted.columns, None
     for rows in blocks:
         rows = sorted(rows, key=lambda r: (r["item_id"] is not None, r["item_id"] or 0, r["text"]))
-        items = Items([r["item_id"] or 0 for r in rows], [r["text"] for r in rows], space, rare)
+        items = Items([r["item_id"] or 0 for r in rows], [r["text"] for r in rows], space, rare, tf)
         schema = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
         if out is None:
             out = wanted.mapInArrow(_search(items, cosine, names), f"{schema(wanted)}, `{names[0]}` long, `{names[1]}` double")
