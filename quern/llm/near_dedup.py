@@ -24,8 +24,9 @@ With 16 bands of 4 rows a pair at 0.8 misses all bands with probability 2e-4.
 
 Edge cases.  Equal texts, the empty one too, are one class; null texts are alone;
 texts without words have no other links. Rows with equal doc_id are one document
-with several texts and share its class; rows without doc_id count as one
-document, whose class id is null. Extra columns are ignored by ``near_classes`` and
+with several texts and share its class; each text without doc_id is a document of its
+own, a hash of the text in place of the id, and the class id is null where no text of the class
+has a doc_id. Extra columns are ignored by ``near_classes`` and
 kept by ``near_dedup``; an empty table gives an empty result.
 """
 
@@ -48,7 +49,6 @@ SAMPLES = ROWS * BANDS
 PROMISING, BLOCK = 39, 512
 #: Blocks up to which all pairs of blocks of a key meet at once.
 WIDE = 16
-_NO_ID = -(1 << 63)
 _TABLE = 1 << 16
 
 
@@ -400,10 +400,23 @@ def _links(rows: DataFrame, sizes: DataFrame, kernel, scratch: Scratch, name: st
     return found.unionByName(scratch.save(_dealt(second).mapInArrow(kernel, "a long, b long"), f"{name}_second"))
 
 
-def near_classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, digest, class_id (least doc_id of the class)."""
+def _node(doc_id, digest) -> F.Column:
+    """The doc_id as long, or for a text without one a hash of the text."""
+    return F.coalesce(F.col(doc_id).cast("long"), _own_node(digest))
+
+
+def _own_node(digest) -> F.Column:
+    return F.xxhash64(F.lit("no doc_id"), digest)
+
+
+def _any_without_id(docs: DataFrame) -> bool:
+    return not docs.where(F.col("doc_id").cast("long").isNull()).limit(1).isEmpty()
+
+
+def _classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
+    """One row per row of docs (doc_id, text): id (``_node``), doc_id, digest, class_id (least doc_id of the class), kept (the class's first node)."""
     scratch = Scratch(spark)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.md5("text").alias("digest"), "text")
+    keyed = docs.select(_node("doc_id", F.md5("text")).alias("id"), F.md5("text").alias("digest"), "text")
     heavy = heavy_shingles(docs, share)
     sketches = scratch.save(keyed.mapInArrow(_sketches(heavy, share), "id long, digest string, bands array<long>, sig binary"), "sketches")
     firsts = scratch.save(sketches.groupBy("digest").agg(F.min("id").alias("first")), "firsts")  # as a table, so that a hot join can be split
@@ -422,17 +435,28 @@ def near_classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESH
     links = _links(texts, groups, _verified(heavy, share, threshold), scratch, "verified")
     classes = connected_components(spark, scratch.save(links.unionByName(copies), "links"))
     out = sketches.select("id", "digest").join(classes, "id", "left").withColumn("class_id", F.coalesce("component", "id"))
-    real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias
-    return out.select(real("id")("doc_id"), "digest", real("class_id")("class_id"))
+    if not _any_without_id(docs):
+        return out.select("id", F.col("id").alias("doc_id"), "digest", "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+    doc_id = F.when(F.col("id") != _own_node("digest"), F.col("id"))
+    out = scratch.save(out.select("id", doc_id.alias("doc_id"), "digest", F.col("class_id").alias("component")), "classes")
+    # a doc_id stands before any text without one
+    first = out.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.min("id").alias("least"))
+    first = scratch.save(first, "class_ids")
+    return out.join(first, "component").select("id", "doc_id", "digest", "class_id", (F.col("id") == F.coalesce("class_id", "least")).alias("kept"))
+
+
+def near_classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, digest, class_id (least doc_id of the class)."""
+    return _classes(spark, docs, threshold, share).select("doc_id", "digest", "class_id")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """docs without near copies: of each class the row of least doc_id (of several such, the one of least text digest)."""
-    classes = near_classes(spark, docs, **options)
-    kept = classes.where("doc_id = class_id or doc_id is null").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.coalesce("digest", F.lit("")).alias("digest"))
+    """docs without near copies: of each class the row of least doc_id (of several such, the one of least text digest), of texts without doc_id one."""
+    classes = _classes(spark, docs, **options)
+    kept = classes.where("kept").select("id", F.coalesce("digest", F.lit("")).alias("digest"))
     kept = kept.groupBy("id").agg(F.min("digest").alias("digest"))
     rows = docs.select(F.struct(*every(docs)).alias("row"))
-    keyed = rows.withColumn("id", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_NO_ID))).withColumn("digest", F.coalesce(F.md5("row.text"), F.lit("")))
+    keyed = rows.withColumn("id", _node("row.doc_id", F.md5("row.text"))).withColumn("digest", F.coalesce(F.md5("row.text"), F.lit("")))
     joined = keyed.join(kept.hint("merge"), ["id", "digest"])
     if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():  # rows equal in id and text: one stays
         joined = joined.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("digest"))).where("nth = 1")

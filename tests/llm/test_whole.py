@@ -1,10 +1,12 @@
 """Whole results where a shortcut once left some out."""
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination
+from quern.llm import decontamination, near_dedup
 
 
 def test_leaks_of_common_words_are_found(spark):
@@ -35,3 +37,15 @@ def test_paraphrases_at_the_limit_are_found(spark, small):
             changed.append((10_000 + len(changed), " ".join([*rng.choice(corpus, 50), *words, *rng.choice(corpus, 50)])))
     got = decontamination.leaks(spark, docs.unionByName(spark.createDataFrame(changed, docs.schema)), items).where("doc_id >= 10000")
     assert got.where(F.col("item").isNull()).count() == 0
+
+
+def test_near_dedup_keeps_texts_without_doc_id(spark):
+    """Texts without doc_id are documents of their own: none is lost and none joins other classes."""
+    text = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(None, text[0]), (None, text[1]), (None, text[2]), (None, text[2]), (5, text[0]), (9, text[1]), (7, text[3]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["digest"]): r["class_id"] for r in near_dedup.near_classes(spark, docs).collect()}
+    md5 = lambda t: t and hashlib.md5(t.encode()).hexdigest()
+    assert got == {(d, md5(t)): {text[0]: 5, text[1]: 9, text[3]: 7}.get(t) for d, t in rows}
+    kept = [tuple(r) for r in near_dedup.near_dedup(spark, docs).collect()]
+    assert sorted(kept, key=repr) == sorted([(5, text[0]), (9, text[1]), (7, text[3]), (None, text[2]), (None, None)], key=repr)
