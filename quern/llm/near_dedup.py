@@ -14,7 +14,7 @@ reach half that share, which bounds what is counted, collected and broadcast.
    hash of the pair, so equal pairs draw equally everywhere.
 3. Candidates. Equal bands meet in buckets, which compare all sketches and return a
    forest of promising pairs (an estimate that a pair at the threshold falls below with
-   probability 2e-5), never the pairs.
+   probability 1.3e-4), never the pairs.
 4. Verification. Texts of a cluster of promising documents meet; pairs that links found
    so far do not connect yet are verified by exact weighted Jaccard similarity, and a
    forest of links returns. Large buckets and clusters are dealt in blocks (``_links``).
