@@ -8,9 +8,10 @@ same document.
    occurrence of a window in a block travels on, so a passage that a third of all
    documents share sends one copy a block, not one a document.
 2. The surviving windows are cut into super-k-mers: consecutive windows with the
-   same minimiser (least hash of their ``gram``-word pieces) travel as one packed
-   string to the bucket that the minimiser names.  Equal windows have equal
-   minimisers, so all copies of a window meet in one bucket.
+   same minimiser travel as one packed string to the bucket that the minimiser names.
+   The minimiser is the least hash of a window's ``gram``-word pieces, but pieces so
+   frequent that they alone could fill a bucket rank behind all others (``_frequent``).
+   Equal windows have equal minimisers, so all copies of a window meet in one bucket.
 3. A bucket sorts its windows by hash, compares the words of equal hashes byte by
    byte, keeps the first occurrence and reports the others.  Strings come in
    bounded blocks; between blocks only first occurrences are held.
@@ -18,7 +19,7 @@ same document.
 
 Edge cases.  Null and empty texts have no words: n_words 0, n_removed 0 and the
 digest of the empty string.  Texts shorter than a window lose nothing.  Rows with
-equal doc_id are ordered by a 32-bit hash of their text; rows equal in both are one
+equal doc_id are ordered by a 128-bit hash of their text; rows equal in both are one
 document and each gets its result.  A null doc_id orders before all others.
 Extra input columns are ignored; an empty table gives an empty result.
 """
@@ -42,15 +43,87 @@ WINDOW, GRAM, MOST = 20, 4, 64
 BUCKET_BYTES, LEAST_BUCKETS = 1 << 20, 256
 #: Text bytes of a block that drops its own repeats.
 CUT_BYTES = 4 << 20
+#: A piece is frequent from 1 / SPREAD of a task's even share of all pieces on: a minimiser
+#: names at most window - gram + 1 windows a piece, so it fills a fraction of a task.
+SPREAD = 64
+#: Pieces that are counted together; what a driver gets is at most 2 * SPREAD a shuffle partition.
+FLUSH = 4 << 20
 _NO_ID = -(1 << 63)
 
-_ROUTED = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("spans", pa.binary()), ("packed", pa.binary())])
-_ROUTED_DDL = "bucket long, doc_id long, tie long, spans binary, packed binary"
-_SPANS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("spans", pa.binary())])
+_ROUTED = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("tie2", pa.int64()), ("spans", pa.binary()), ("packed", pa.binary())])
+_ROUTED_DDL = "bucket long, doc_id long, tie long, tie2 long, spans binary, packed binary"
+_SPANS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("tie2", pa.int64()), ("spans", pa.binary())])
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it, in any of the columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+class _Frequent:
+    """A set of frequent pieces that ranks them behind the others."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
+
+    def ranked(self, g: np.ndarray) -> np.ndarray:
+        out = g >> np.uint64(1)
+        at = np.flatnonzero(self.maybe[(g >> np.uint64(48)).astype(np.int64)])
+        if len(at):
+            k = np.minimum(np.searchsorted(self.hashes, g[at]), len(self.hashes) - 1)
+            out[at[self.hashes[k] == g[at]]] |= np.uint64(1 << 63)
+        return out
+
+
+def _counted(gram: int, share: float):
+    """Pieces with half the share of a flush; row null of each flush is its number of pieces."""
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.sort(np.concatenate(held))
+        cut = np.flatnonzero(_runs(every))
+        n = np.diff(np.append(cut, len(every)))
+        some = n >= max(2.0, share / 2 * len(every))
+        return pa.RecordBatch.from_pydict(
+            {"piece": pa.array([None, *every[cut[some]].view(np.int64).tolist()], pa.int64()), "n": pa.array([len(every), *n[some].tolist()], pa.int64())}
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for t in text_blocks(batches):
+            w = Words.of(t["text"])
+            held.append(w.grams(w.hashes(), gram)[1])
+            size += len(held[-1])
+            if size >= FLUSH:
+                yield flush(held)
+                held, size = [], 0
+        if size:
+            yield flush(held)
+
+    return run
+
+
+def _frequent(docs: DataFrame, gram: int, tasks: int) -> _Frequent:
+    """Pieces with 1 / (SPREAD * tasks) of all pieces: at most 2 * SPREAD * tasks of them reach the driver.
+
+    They decide where windows meet, never which of them repeat.
+    """
+    share = 1 / (SPREAD * tasks)
+    found = docs.select("text").mapInArrow(_counted(gram, share), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    total = F.first(F.when(F.col("piece").isNull(), F.col("n")), ignorenulls=True)
+    found = Scratch(docs.sparkSession).save(found, "pieces")
+    pieces = found.agg(total.alias("n")).first()["n"] or 0
+    rows = found.where(F.col("piece").isNotNull() & (F.col("n") >= share / 2 * pieces)).select("piece").collect() if pieces else []
+    return _Frequent(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
 class _Pieces:
-    """Texts (documents or packed strings) in ascending order of (doc_id, tie, first)."""
+    """Texts (documents or packed strings) in ascending order of (doc_id, tie, first). tie: two columns."""
 
     def __init__(self, doc: np.ndarray, tie: np.ndarray, first: np.ndarray, words: Words, window: int):
         self.doc, self.tie, self.first, self.words, self.window = doc, tie, first, words, window
@@ -77,7 +150,7 @@ class _Pieces:
             piece = np.searchsorted(w.ptr, at, side="right") - 1
             a, b = piece[later], piece[head[later]]
             pos = self.first[piece] + at - w.ptr[piece]
-            same[later] = (self.doc[a] == self.doc[b]) & (self.tie[a] == self.tie[b]) & (pos[later] == pos[head[later]])
+            same[later] = (self.doc[a] == self.doc[b]) & (self.tie[a] == self.tie[b]).all(1) & (pos[later] == pos[head[later]])
         return at, repeated, same, h
 
     def _settle(self, at: np.ndarray, head: np.ndarray, later: np.ndarray, grams: np.ndarray) -> None:
@@ -100,7 +173,7 @@ class _Pieces:
                         for x in np.flatnonzero(grams == g).tolist():
                             head[x] = seen.setdefault(buf[w.start[at[x]] : w.end[at[x] + k - 1]], x)
 
-    def spans(self, at: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    def spans(self, at: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
         """Of windows that repeat: per piece, the covered word ranges in document positions."""
         if len(at) == 0:
             return
@@ -114,11 +187,11 @@ class _Pieces:
         owner = piece[lo]
         cut = np.flatnonzero(np.concatenate(([True], np.diff(owner) != 0)))
         for i, j in zip(cut.tolist(), np.append(cut[1:], len(owner)).tolist(), strict=True):
-            yield int(self.doc[owner[i]]), int(self.tie[owner[i]]), pairs[i:j].tobytes()
+            yield int(self.doc[owner[i]]), *self.tie[owner[i]].tolist(), pairs[i:j].tobytes()
 
-    def strings(self, at: np.ndarray, h: np.ndarray, gram: int) -> tuple[np.ndarray, ...]:
+    def strings(self, at: np.ndarray, h: np.ndarray, gram: int, frequent: _Frequent) -> tuple[np.ndarray, ...]:
         """Super-k-mers of the windows at ``at``: minimiser, piece, first word (block), windows."""
-        g = gram_hashes(h, gram)[: max(0, len(h) - gram + 1)]
+        g = frequent.ranked(gram_hashes(h, gram)[: max(0, len(h) - gram + 1)])
         least = sliding_min(g, self.window - gram + 1)[at]
         piece = np.searchsorted(self.words.ptr, at, side="right") - 1
         new = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(piece) != 0) | (least[1:] != least[:-1])))
@@ -133,7 +206,7 @@ def _pack(p: _Pieces, piece: np.ndarray, at: np.ndarray, n: np.ndarray, buf: byt
     w = p.words
     s, e = w.start[at].tolist(), w.end[at + n + p.window - 2].tolist()
     doc = np.diff(p.doc[piece], prepend=0)  # pieces ascend, so steps are small and compress well
-    head = np.array([len(at)], "<i8").tobytes() + doc.astype("<i8").tobytes() + (p.first[piece] + at - w.ptr[piece]).astype("<i8").tobytes() + p.tie[piece].astype("<i4").tobytes()
+    head = np.array([len(at)], "<i8").tobytes() + doc.astype("<i8").tobytes() + (p.first[piece] + at - w.ptr[piece]).astype("<i8").tobytes() + p.tie[piece].astype("<i8").tobytes()
     return head + b"\n".join([buf[i:j] for i, j in zip(s, e, strict=True)])
 
 
@@ -144,10 +217,10 @@ def _unpack(blobs: list[bytes], window: int) -> _Pieces:
         head = np.frombuffer(blob, "<i8", 2 * n, 8).reshape(2, n)
         doc.append(np.cumsum(head[0]))
         first.append(head[1])
-        tie.append(np.frombuffer(blob, "<i4", n, 8 + 16 * n).astype(np.int64))
-        texts += blob[8 + 20 * n :].split(b"\n")
+        tie.append(np.frombuffer(blob, "<i8", 2 * n, 8 + 16 * n).reshape(n, 2))
+        texts += blob[8 + 32 * n :].split(b"\n")
     doc, tie, first = np.concatenate(doc), np.concatenate(tie), np.concatenate(first)
-    order = np.lexsort((first, tie, doc))
+    order = np.lexsort((first, tie[:, 1], tie[:, 0], doc))
     return _Pieces(doc[order], tie[order], first[order], Words.of(pa.array([texts[i] for i in order.tolist()], pa.large_binary())), window)
 
 
@@ -155,28 +228,28 @@ def _rows(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
 
-def _cut(window: int, gram: int, buckets: int):
+def _cut(window: int, gram: int, buckets: int, frequent: _Frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for t in text_blocks(batches, limit=CUT_BYTES):
-            doc, tie = t["doc_id"].to_numpy(), t["tie"].to_numpy()
-            order = np.lexsort((tie, doc))
-            order = order[np.concatenate(([True], (np.diff(doc[order]) != 0) | (np.diff(tie[order]) != 0)))]
+            doc, tie = t["doc_id"].to_numpy(), np.stack([t["tie"].to_numpy(), t["tie2"].to_numpy()], 1)
+            order = np.lexsort((tie[:, 1], tie[:, 0], doc))
+            order = order[_runs(doc[order], tie[order, 0], tie[order, 1])]
             p = _Pieces(doc[order], tie[order], np.zeros(len(order), np.int64), Words.of(t["text"].combine_chunks().take(pa.array(order))), window)
             at, repeated, _, h = p.repeats()
             if len(at) == 0:
                 continue
-            out = [(d % buckets, d, y, s, None) for d, y, s in p.spans(at[repeated])]
+            out = [(d % buckets, d, y, z, s, None) for d, y, z, s in p.spans(at[repeated])]
             if out:
                 yield _rows(out, _ROUTED)
-            least, piece, begin, n = p.strings(at[~repeated], h, gram)
+            least, piece, begin, n = p.strings(at[~repeated], h, gram, frequent)
             bucket = (least % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0)))
             buf, out = p.words.buf.tobytes(), []
             for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(order)).tolist(), strict=True):
                 x = order[lo:hi]
-                out.append((int(bucket[x[0]]), None, None, None, press.compress(_pack(p, piece[x], begin[x], n[x], buf))))
+                out.append((int(bucket[x[0]]), None, None, None, None, press.compress(_pack(p, piece[x], begin[x], n[x], buf))))
             yield _rows(out, _ROUTED)
 
     return run
@@ -270,18 +343,22 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     ``docs`` needs doc_id and text.  ``gram`` must not exceed ``window``.
     """
     scratch = Scratch(spark)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"), F.hash("text").cast("long").alias("tie"), "text")
-    buckets = max(LEAST_BUCKETS, input_bytes(docs) // BUCKET_BYTES)
-    routed = keyed.select(F.col("key").alias("doc_id"), "tie", "text").mapInArrow(_cut(window, min(gram, window), buckets), _ROUTED_DDL)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    repeat = not docs.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    # where no two rows have one doc_id, the text need not tell them apart
+    ties = (F.xxhash64("text"), F.xxhash64(F.lit("tie"), "text")) if repeat else (F.lit(0).cast("long"), F.lit(0).cast("long"))
+    ties = [t.alias(n) for t, n in zip(ties, ("tie", "tie2"), strict=True)]
+    keyed = docs.select(key.alias("doc_id"), *ties, "text")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    buckets = n * -(-max(LEAST_BUCKETS, input_bytes(docs) // BUCKET_BYTES) // n)  # as many for each task
+    gram = min(gram, window)
+    routed = keyed.mapInArrow(_cut(window, gram, buckets, _frequent(docs, gram, n)), _ROUTED_DDL)
     spans = (
-        routed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_fold(window, fold_bytes), "doc_id long, tie long, spans binary")
-        .groupBy("doc_id", "tie").agg(F.collect_list("spans").alias("spans"))
+        routed.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket").mapInArrow(_fold(window, fold_bytes), "doc_id long, tie long, tie2 long, spans binary")
+        .groupBy("doc_id", "tie", "tie2").agg(F.collect_list("spans").alias("spans"))
     )
     spans = scratch.save(spans, "spans")  # frees the packed strings before the texts move
-    joined = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"), F.hash("text").cast("long").alias("tie"), "text").join(
-        spans.withColumnRenamed("doc_id", "key").hint("merge"), ["key", "tie"], "left"
-    )
+    joined = docs.select("doc_id", key.alias("key"), *ties, "text").join(spans.withColumnRenamed("doc_id", "key").hint("merge"), ["key", "tie", "tie2"], "left")
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(_rebuild(with_text), ddl)
 
