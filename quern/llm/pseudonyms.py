@@ -4,12 +4,14 @@ Personal data is found by pattern, validated, and replaced within its own format
 
     email     local part and host name keep length, case and digit places; the last label stays
     card      13 to 19 digits with a valid Luhn sum: the first digit stays, the check digit is made valid again
-    phone     + or a bracketed area code or three groups of digits: digits change, the country code and marks stay
+    phone     + or a bracketed area code or three groups of digits: the country code and marks stay, the other digits change
+              alike whatever marks stand between them
     ipv4      four numbers from 0 to 255: permuted as one 32-bit number
-    ssn       ddd-dd-dddd outside the ranges never issued: the nine digits change
+    ssn       ddd-dd-dddd outside the ranges never issued: permuted among the numbers that may be issued
     iban      two letters, check digits and account with remainder 1 modulo 97: check digits are made valid again
     date      year-month-day (or day.month.year, month/day/year) that the calendar has: permuted among the days of 1900 to 2099
-    secret    a value of 16 or more letters and digits given to a name like token, key, secret or password
+    secret    a value of 16 or more letters and digits given to a name like token, key, secret or password,
+              or one with an issuer's prefix, which stays
 
 A value's digits and letters are ranked as one number of its format's domain and
 permuted by an alternating ten-round Feistel network keyed by HMAC-SHA256 (as in
@@ -36,11 +38,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import small_batches
+from quern.llm.common import small_batches, text_blocks
 
-#: The demonstration key; a production run passes its own secret.
-KEY = b"quern demonstration key"
+#: Key of the registered query over synthetic tables; whoever knows the key can undo the pseudonyms, so ``with_pseudonyms`` asks for one.
+TEST_KEY = b"quern demonstration key"
 ROUNDS = 10
+#: Prefixes that issuers give their keys.
+PREFIXES = ("AKIA", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 
 _KINDS = regex.compile(
     r"""
@@ -59,7 +63,7 @@ _KINDS = regex.compile(
     regex.VERBOSE,
 )
 #: Bytes that any match has: texts without one need no search.
-_HINT = regex.compile(r"[@\d]|[:=]")
+_HINT = regex.compile(r"[@\d:=]|AKIA|sk-|gh[pousr]_")
 _FIRST, _LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 _SETS = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
 
@@ -151,7 +155,12 @@ def _phone(key: bytes, v: str) -> str | None:
     if not 7 <= sum(c.isdigit() for c in v) <= 15:
         return None
     lead = len(regex.match(r"(?:\+\d{1,3}(?=[ .(-]))?", v)[0])
-    return _permuted(key, "phone", v, frozenset(range(lead)))
+    places = [i for i in range(lead, len(v)) if v[i].isdigit()]
+    new = _permuted(key, "phone", "".join(v[i] for i in places))
+    out = list(v)
+    for i, c in zip(places, new, strict=True):
+        out[i] = c
+    return "".join(out)
 
 
 def _ipv4(key: bytes, v: str) -> str | None:
@@ -166,7 +175,11 @@ def _ssn(key: bytes, v: str) -> str | None:
     area, group, serial = v.split("-")
     if area in ("000", "666") or area[0] == "9" or group == "00" or serial == "0000":
         return None
-    return _permuted(key, "ssn", v)
+    # areas 1 to 665 and 667 to 899, groups from 1, serials from 1
+    x = ((int(area) - 1 - (area > "666")) * 99 + int(group) - 1) * 9999 + int(serial) - 1
+    x, last = divmod(Feistel(key, 898 * 99 * 9999, b"ssn")(x), 9999)
+    first, middle = divmod(x, 99)
+    return f"{first + 1 + (first >= 665):03d}-{middle + 1:02d}-{last + 1:04d}"
 
 
 def _mod97(v: str) -> int:
@@ -196,7 +209,8 @@ def _date(key: bytes, v: str) -> str | None:
 
 
 def _secret(key: bytes, v: str) -> str:
-    return _permuted(key, "secret", v)
+    kept = next((p for p in PREFIXES if v.startswith(p)), "")
+    return kept + _permuted(key, "secret", v[len(kept) :])
 
 
 _MAKE: dict[str, Callable[[bytes, str], str | None]] = {"email": _email, "secret": _secret, "iban": _iban, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
@@ -234,23 +248,23 @@ def _run(key: bytes):
     span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for t in text_blocks(batches):  # bounded blocks of whole texts
             texts, spans = [], []
-            for t in batch.column("text").to_pylist():
-                new, found = (None, []) if t is None else pseudonymise(t, key)
+            for text in t["text"].to_pylist():
+                new, found = (None, []) if text is None else pseudonymise(text, key)
                 texts.append(new)
                 spans.append([{"start": s, "length": n, "kind": k} for s, n, k in found])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(spans, span)], names=["doc_id", "text", "spans"])
+            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array(texts, pa.string()), pa.array(spans, span)], names=["doc_id", "text", "spans"])
 
     return run
 
 
-def with_pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def with_pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, text with pseudonyms, spans of them."""
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_run(key), "doc_id long, text string, spans array<struct<start:int,length:int,kind:string>>")
 
 
 def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_pseudonyms(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = with_pseudonyms(spark.read.parquet(f"{sf_dir}/documents.parquet"), TEST_KEY)
     return found.select("doc_id", "text", F.size("spans").alias("n_replaced"), F.concat_ws(",", "spans.kind").alias("kinds"))

@@ -190,8 +190,8 @@ def test_pseudonyms(spark, docs, none):
     assert pseudonyms.pseudonymise(text, b"k") == (new, spans) and pseudonyms.pseudonymise(text, b"other")[0] != new
     clean = "Version 2.0. of 1234567890123456 at 999.1.1.1 on 2024-02-30 costs 3.50; 000-12-3456"
     assert pseudonyms.pseudonymise(clean, b"k") == (clean, [])
-    got = pseudonyms.with_pseudonyms(docs).collect()
-    assert sorted((r["text"] or "") for r in got) == sorted((t or "") for _, t, *_ in ROWS) and pseudonyms.with_pseudonyms(none).count() == 0
+    got = pseudonyms.with_pseudonyms(docs, b"k").collect()
+    assert sorted((r["text"] or "") for r in got) == sorted((t or "") for _, t, *_ in ROWS) and pseudonyms.with_pseudonyms(none, b"k").count() == 0
 
 
 @pytest.mark.parametrize("n", [2, 3, 10, 1000])
