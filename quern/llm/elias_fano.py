@@ -73,6 +73,22 @@ class EliasFano:
         part = int.from_bytes(self.low[first // 8 : (first + self.width + 7) // 8].tobytes(), "little") >> first % 8
         return high << self.width | part & ((1 << self.width) - 1)
 
+    def block(self, k: int) -> np.ndarray:
+        """Values k * EVERY to (k + 1) * EVERY - 1 (or to the end), by the select sample of the first of them."""
+        lo, hi = k * EVERY, min((k + 1) * EVERY, self.n)
+        if not 0 <= lo < hi:
+            raise IndexError(k)
+        at = int(self.sample[k])
+        stop = int(self.sample[k + 1]) // 8 + 1 if hi < self.n else len(self.high)
+        found = np.flatnonzero(np.unpackbits(self.high[at // 8 : stop], bitorder="little")) + at // 8 * 8
+        found = found[np.searchsorted(found, at) :][: hi - lo]
+        out = (found - np.arange(lo, hi)) << self.width
+        if self.width:
+            first = lo * self.width  # EVERY values end on a byte
+            bits = np.unpackbits(self.low[first // 8 : (hi * self.width + 7) // 8], bitorder="little")[: (hi - lo) * self.width]
+            out += bits.reshape(hi - lo, self.width).astype(np.int64) @ (1 << np.arange(self.width, dtype=np.int64))
+        return out
+
     def all(self) -> np.ndarray:
         """All values; a scan, without select."""
         if self.n == 0:

@@ -17,8 +17,12 @@ Spark writes to will do):
 The corpus position of a shard is ``before`` plus the ids of earlier partitions: one
 row per partition is summed and broadcast, which the number of partitions bounds.
 
-Text is cut where byte-level BPE splits in any case (see ``_pieces``), so pieces
-encode on their own and each distinct piece of a block is encoded once.
+Documents are read back in runs of ``elias_fano.EVERY``, each found by a select sample of
+its shard's boundaries; no table of offsets is made.
+
+Text is cut where the pre-tokeniser of byte-level BPE splits in any case (see ``_pieces``),
+so pieces encode on their own and each distinct piece of a block is encoded once. Tokenizers
+that do more than that (``_splits``) encode whole texts.
 
 Edge cases.  A null or empty text has the end id alone.  Rows with equal doc_id
 follow one another in order of their text's hash; each is a document of its own.  A
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import Scratch, flat, text_blocks
-from quern.llm.elias_fano import EliasFano, encode
+from quern.llm.elias_fano import EVERY, EliasFano, encode
 
 END_ID = 2
 #: Text bytes of a shard at most, but for a longer single text.
@@ -70,6 +74,17 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _splits(tokenizer) -> bool:
+    """Whether the tokenizer is byte-level BPE that splits texts as ``_pieces`` relies on, and does nothing else to them."""
+    import json
+
+    made = json.loads(tokenizer.to_str())
+    pre, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    added = all(t["content"].startswith("<|") and t["content"].endswith("|>") for t in made.get("added_tokens", []))
+    return bool(plain and added and made.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout"))
+
+
 def _pieces(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Starts of pieces: in front of a space that a character follows, between a letter and
     punctuation, and around a line end between characters. BPE splits there in any case."""
@@ -96,6 +111,7 @@ class Encoder:
         self.tokenizer = _tokenizer(path)
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
+        self.splits = _splits(self.tokenizer)
 
     def _encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces in a row, and how many each has."""
@@ -133,6 +149,10 @@ class Encoder:
     def ids(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the end of each text in it."""
         data, off = flat(texts)
+        if not self.splits:
+            each = [e.ids for e in self.tokenizer.encode_batch([bytes(data[a:b]).decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], add_special_tokens=False)]
+            out, stop = np.array([i for e in each for i in e], np.uint32), np.cumsum([len(e) for e in each], dtype=np.int64)
+            return self._ended(out, stop, end_id)
         begin = _pieces(data, off)
         if len(begin):
             edge = pa.py_buffer(np.append(begin, len(data)).astype(np.int64))
@@ -147,7 +167,10 @@ class Encoder:
                 out[a:b] = known[np.repeat(start[w] - ends[i : i + len(w)], n[w]) + np.arange(a, b)]
         else:
             ends, out = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-        stop = ends[np.searchsorted(begin, off[1:])]
+        return self._ended(out, ends[np.searchsorted(begin, off[1:])], end_id)
+
+    @staticmethod
+    def _ended(out: np.ndarray, stop: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         if end_id is not None:
             out = np.insert(out, stop, end_id)
             stop = stop + np.arange(1, len(stop) + 1)
@@ -178,22 +201,27 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, path
     """Tokenise docs (doc_id, text) and write the shard table to ``path``."""
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     key = F.col("doc_id").asc_nulls_first()
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, key).sortWithinPartitions(key, F.xxhash64("text"))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, key, F.xxhash64("text")).sortWithinPartitions(key, F.xxhash64("text"))
     ordered.mapInArrow(_shards(tokenizer_path, end_id, shard_bytes), _SHARD_DDL).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
-            ids = np.frombuffer(r["ids"], f"<u{r['width']}")
-            ends = EliasFano(r["bounds"]).all()
-            begin = np.concatenate(([0], ends[:-1]))
-            wide = ids.astype("<u4").tobytes()
-            crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
-            doc_ids = [None] * r["nulls"] + (EliasFano(r["doc_ids"]).all() + r["least"]).tolist()
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(begin + r["base"]), "n_tokens": pa.array(ends - begin), "ids_crc32": pa.array(crc, pa.int64())}
-            )
+            wide = memoryview(np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4").tobytes())
+            bounds, known, nulls = EliasFano(r["bounds"]), EliasFano(r["doc_ids"]), r["nulls"]
+            doc_ids, before = [None] * nulls, 0
+            for k in range(-(-len(known) // EVERY)):
+                doc_ids += (known.block(k) + r["least"]).tolist()
+            for k in range(-(-len(bounds) // EVERY)):
+                ends = bounds.block(k)
+                begin = np.concatenate(([before], ends[:-1]))
+                crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
+                own = doc_ids[k * EVERY : k * EVERY + len(ends)]
+                yield pa.RecordBatch.from_pydict(
+                    {"doc_id": pa.array(own, pa.int64()), "start": pa.array(begin + r["base"]), "n_tokens": pa.array(ends - begin), "ids_crc32": pa.array(crc, pa.int64())}
+                )
+                before = int(ends[-1])
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
