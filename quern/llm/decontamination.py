@@ -26,12 +26,13 @@ Words are lower-cased runs of letters and digits, hashed to ``FEATURES`` columns
    ``SURE`` on it is a leak; from ``LIKELY`` on it is a paraphrase if the item's answer,
    its last ``ANSWER`` words, also recurs there by ``ANSWER_SHARE``.
 
-The benchmark is collected when its stored size is below ``BENCHMARK_BYTES``; a larger one
-is processed in blocks of items, each block a pass of steps 2 and 3.
+The benchmark is dealt by a hash of the texts into blocks of about ``ITEM_BLOCK`` items and
+``BLOCK_BYTES`` of text, however many that makes; each block is a pass of steps 2 and 3, and what is
+sent to executors is one block. The best match is that of the greatest share, then of the least item_id.
 
 Edge cases.  Null and empty texts and items match nothing. A document shorter than a
 window is one window. Repeated items count once by text (the least item_id names
-them); rows with equal doc_id are judged each by its own text, and a null doc_id is judged
+them); a match with an item without item_id has a share but no item, and comes last among equals; rows with equal doc_id are judged each by its own text, and a null doc_id is judged
 too. Extra columns are ignored by ``leaks`` and kept by ``without_leaks``; empty tables
 give results without leaks.
 """
@@ -45,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Words, every, flat, fresh, input_bytes, small_batches, text_blocks
+from quern.llm.common import Words, every, flat, fresh, small_batches, text_blocks
 
 FEATURES, RANK, OVER = 8192, 40, 8
 #: Features that are summed together.
@@ -53,7 +54,8 @@ PART = 128
 #: Words of a passage of the term matrix, and of sliding windows. Windows move by a third of their length.
 PASSAGE, LENGTHS = 54, (3, 6, 12, 18, 27, 40, 60, 90, 135, 200)
 COSINE, SURE, LIKELY, ANSWER, ANSWER_SHARE = 0.62, 0.7, 0.55, 8, 0.75
-BENCHMARK_BYTES, ITEM_BLOCK = 64 << 20, 20_000
+#: Items, and bytes of their texts, that one pass looks for.
+ITEM_BLOCK, BLOCK_BYTES = 20_000, 8 << 20
 #: Share of all words from which a feature is common: the bound on common subsequences counts rarer ones only.
 COMMON = 0.001
 #: Items whose key words are looked up together.
@@ -248,7 +250,7 @@ class _Keys:
 class Items:
     """A block of benchmark items: words, length class, latent vectors."""
 
-    def __init__(self, ids: list[int], texts: list[str], space: np.ndarray, rare: np.ndarray, tf: np.ndarray):
+    def __init__(self, ids: list[int | None], texts: list[str], space: np.ndarray, rare: np.ndarray, tf: np.ndarray):
         w = plain_words(pa.array(texts, pa.string()))
         h = w.hashes()
         self.rare = rare
@@ -260,12 +262,13 @@ class Items:
             if n:
                 inside = [length for length in LENGTHS if length + max(1, length // 3) - 1 <= n]
                 self.of[max(inside, default=LENGTHS[0])].append(i)
-        self.has = np.zeros((len(ids), FEATURES), np.uint8)  # rare features of each item
+        has = []  # rare features of each item, as item * FEATURES + feature
         self.need = np.zeros(len(ids), np.int64)  # how many of them any match must have
         for i, words in enumerate(self.words):
             f = _columns(np.array(words, np.uint64))
-            self.has[i, f[rare[f]]] = 1
+            has.append(np.unique(f[rare[f]]).astype(np.int64) + i * FEATURES)
             self.need[i] = int(np.ceil(LIKELY * len(f) - 1e-9)) - int((~rare[f]).sum())
+        self.has = np.concatenate([*has, np.array([1 << 62])])
         self.keys = {length: [_Keys(own[k : k + GROUP], self.words, length, tf) for k in range(0, len(own), GROUP)] for length, own in self.of.items()}
         self.vectors = {}
         for length, own in self.of.items():
@@ -277,12 +280,12 @@ class Items:
     def shared(self, f: np.ndarray, left: np.ndarray, right: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Words of f[left:right] that are rare words of the item, for each candidate."""
         out = np.zeros(len(item), np.int64)
-        has = self.has.ravel()
         inside = np.arange(int((right - left).max(initial=0)))
         for lo in range(0, len(item), 4096):
             at = left[lo : lo + 4096, None] + inside
-            hit = has[(item[lo : lo + 4096] * FEATURES)[:, None] + f[np.minimum(at, len(f) - 1)]]
-            hit *= at < right[lo : lo + 4096, None]
+            wanted = (item[lo : lo + 4096] * FEATURES)[:, None] + f[np.minimum(at, len(f) - 1)]
+            hit = self.has[np.searchsorted(self.has, wanted)] == wanted
+            hit &= at < right[lo : lo + 4096, None]
             out[lo : lo + 4096] = hit.sum(1)
         return out
 
@@ -301,7 +304,7 @@ def _search(items: Items, cosine: float, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in text_blocks(batches):
             w = plain_words(t["text"])
-            best: dict[int, tuple[float, int]] = {}
+            best: dict[int, tuple[float, bool, int]] = {}  # share, has an id, minus the id
             if len(w):
                 h = w.hashes()
                 f = _columns(h)
@@ -337,11 +340,12 @@ def _search(items: Items, cosine: float, names: tuple[str, str]):
                         for r, i, u, v in zip(row[fit].tolist(), item[fit].tolist(), left[fit].tolist(), right[fit].tolist(), strict=True):
                             d = int(doc[r])
                             share = judge(i, h[u:v].tolist())
-                            if share and (share, -items.ids[i]) > best.get(lo + d, (0.0, 0)):
-                                best[lo + d] = (share, -items.ids[i])
+                            if share:
+                                name = items.ids[i]
+                                best[lo + d] = max(best.get(lo + d, (0.0, False, 0)), (share, name is not None, -(name or 0)))
             found = [best.get(d) for d in range(t.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [*(t[c].combine_chunks() for c in t.column_names), pa.array([x and -x[1] for x in found], pa.int64()), pa.array([x[0] if x else 0.0 for x in found], pa.float64())],
+                [*(t[c].combine_chunks() for c in t.column_names), pa.array([-x[2] if x and x[1] else None for x in found], pa.int64()), pa.array([x[0] if x else 0.0 for x in found], pa.float64())],
                 names=[*t.column_names, *names],
             )
 
@@ -362,34 +366,33 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keep: tupl
     small_batches(spark)
     space, rare, tf = latent_space(docs)
     unique = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
-    if input_bytes(benchmark) <= BENCHMARK_BYTES:
-        blocks = [unique.collect()]
-    else:
-        n = -(-unique.count() // ITEM_BLOCK)
-        blocks = (unique.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect() for i in range(n))
+    size = unique.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n = max(1, -(-size["n"] // ITEM_BLOCK), -(-(size["bytes"] or 0) // BLOCK_BYTES))
+    blocks = (unique.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect() for i in range(n))
     wanted = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((*keep, "text"))])
     kept, out = wanted.columns, None
     for rows in blocks:
-        rows = sorted(rows, key=lambda r: (r["item_id"] is not None, r["item_id"] or 0, r["text"]))
-        items = Items([r["item_id"] or 0 for r in rows], [r["text"] for r in rows], space, rare, tf)
+        rows = sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
+        items = Items([r["item_id"] for r in rows], [r["text"] for r in rows], space, rare, tf)
         schema = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
         if out is None:
             out = wanted.mapInArrow(_search(items, cosine, names), f"{schema(wanted)}, `{names[0]}` long, `{names[1]}` double")
         else:
-            new = tuple(fresh(n, out.columns) for n in names)
+            new = tuple(fresh(c, out.columns) for c in names)
             more = out.mapInArrow(_search(items, cosine, new), f"{schema(out)}, `{new[0]}` long, `{new[1]}` double")
-            better = F.col(new[1]) > F.col(names[1])
-            out = more.select(*[F.col(f"`{c}`") for c in kept], F.when(better, F.col(new[0])).otherwise(F.col(names[0])).alias(names[0]), F.greatest(new[1], names[1]).alias(names[1]))
+            item, share, item2, share2 = (F.col(c) for c in (*names, *new))
+            better = (share2 > share) | (share2 == share) & item2.isNotNull() & (item.isNull() | (item2 < item))
+            out = more.select(*[F.col(f"`{c}`") for c in kept], F.when(better, item2).otherwise(item).alias(names[0]), F.greatest(share, share2).alias(names[1]))
     return out
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     names = (fresh("item", docs.columns), fresh("share", docs.columns))
     found = leaks(spark, docs, benchmark, keep=tuple(docs.columns), names=names, **options)
-    return found.where(F.col(names[0]).isNull()).select(*every(docs))
+    return found.where(F.col(names[1]) == 0).select(*every(docs))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = leaks(spark, docs, benchmark)
-    return found.select("doc_id", F.col("item").isNotNull().alias("contaminated"), F.col("item").alias("item_id"), F.col("share").alias("lcs_share"))
+    return found.select("doc_id", (F.col("share") > 0).alias("contaminated"), F.col("item").alias("item_id"), F.col("share").alias("lcs_share"))
