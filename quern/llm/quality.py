@@ -7,13 +7,13 @@ logistic layer scores their weighted mean (Ilse et al. 2018). Only document labe
 are learned from; the attention finds the passages that matter.
 
 The network is trained on the driver from at most ``SAMPLE`` labelled documents outside
-the held-out fold, those of least id hash; their passage features, not their texts, are
-collected. Scoring reads every text of every document in executors.
+the held-out fold, those of least id hash, by at most ``BAG`` passages of each, evenly spaced
+over its whole text; their features, not their texts, are collected. Scoring reads every text of every document in executors.
 
 Edge cases.  Null and empty texts are a bag of one all-zero passage. Several labels of a
 document count by majority, ties as 1; null labels and labels without document are not
 learned from. If no label or only one value is left, the score is the mean label (0.5
-without any). Rows with equal doc_id are scored each by its own text. A null doc_id
+without any). Rows with equal doc_id are scored each by its own text; one of them is learned from. A null doc_id
 counts as held out. Extra columns are ignored by ``scores`` and kept by
 ``keep_good``; an empty table gives an empty result.
 """
@@ -32,6 +32,8 @@ from quern.llm.common import Words, every, fresh, mix, small_batches, text_block
 PASSAGE, CUT, FOLDS = 64, 0.3, 5
 #: Labelled documents that the network is fitted on at most.
 SAMPLE = 4000
+#: Passages of a document that the network is fitted on at most.
+BAG = 64
 _CLASSES, _SHAPES, _PAIRS = 48, 64, 128
 WIDTH = _CLASSES + _SHAPES + _PAIRS + 4
 _HIDDEN, _GATE = 24, 16
@@ -69,7 +71,8 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         x = out[rows[lo:hi]]
         x[:, :_CLASSES] = np.bincount(mine * _CLASSES + _CLASS[raw], minlength=m * _CLASSES).reshape(m, -1) / chars
         pair = (_CLASS[raw[:-1]] * 61 + _CLASS[raw[1:]] * 7 + (raw[:-1] ^ raw[1:]) % 5) % _PAIRS
-        x[:, _CLASSES : _CLASSES + _PAIRS] = np.bincount(mine[:-1] * _PAIRS + pair, minlength=m * _PAIRS).reshape(m, -1) / chars
+        inside = mine[:-1] == mine[1:]  # what follows a passage is none of its pairs
+        x[:, _CLASSES : _CLASSES + _PAIRS] = np.bincount(mine[:-1][inside] * _PAIRS + pair[inside], minlength=m * _PAIRS).reshape(m, -1) / chars
         f, l, k = _CLASS[w.buf[w.start[a:b]]], _CLASS[w.buf[w.end[a:b] - 1]], np.minimum(size[a:b], 12)
         shape = (f * 31 + l * 17 + k // 3) % _SHAPES
         own = np.repeat(np.arange(m), words[lo:hi].astype(np.int64))
@@ -146,11 +149,17 @@ class GatedAttention:
         return net
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in text_blocks(batches):
-        x, first = passages(t["text"])
-        half = x.astype("<f2")
-        yield pa.RecordBatch.from_pydict({"y": t["y"].combine_chunks(), "x": pa.array([half[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())})
+def _features(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in text_blocks(batches):
+            x, first = passages(t["text"])
+            bags = []
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                some = slice(a, b) if b - a <= most else np.linspace(a, b - 1, most).astype(np.int64)
+                bags.append(x[some].astype("<f2").tobytes())
+            yield pa.RecordBatch.from_pydict({"y": t["y"].combine_chunks(), "x": pa.array(bags, pa.binary())})
+
+    return run
 
 
 def _score(net: GatedAttention | float, name: str):
@@ -179,7 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GatedAtte
     votes = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     some = votes.where(fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # broadcast: at most ``sample`` ids and labels
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "y").mapInArrow(_features, "y double, x binary").toArrow()
+    chosen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    chosen = chosen.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "y")).alias("x")).select("x.text", "x.y")
+    rows = chosen.mapInArrow(_features(BAG), "y double, x binary").toArrow()
     y = rows["y"].to_numpy()
     if len(np.unique(y)) < 2:
         return float(y.mean()) if len(y) else 0.5
