@@ -1,8 +1,8 @@
 """Mixing sources to target weights by repetition rates.
 
 Sizes (words) are summed per source, targets follow from the weights, and each
-document is emitted floor(rate) times plus one more time when a hash of its id,
-read as a number in [0, 1), is below the rate's fraction.
+document is emitted floor(rate) times plus one more time when a seeded hash of its id
+and text, read as a number in [0, 1), is below the rate's fraction.
 
 Targets.  All sources share ``budget`` times all sizes in proportion to their
 weights, but none gets more than ``most`` times its own size; what a source cannot
@@ -12,8 +12,8 @@ limit.  Sums over sources are cumulative window sums over one row per source.
 
 Edge cases.  A null text has size 0.  A null source is a source of its own, last
 in order.  A source of size 0 has target 0 and its documents are not emitted.
-Rows with equal doc_id share their draw; each row is emitted on its own.  A null
-doc_id draws as the empty string.  Extra columns pass through ``mix`` unchanged; an
+Rows equal in doc_id and text share their draw; each row is emitted on its own.  A null
+doc_id or text draws as the empty string.  Extra columns pass through ``mix`` unchanged; an
 empty table gives an empty result.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import WORD_PATTERN, every
 
-WEIGHTS, BUDGET, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
+WEIGHTS, BUDGET, MOST, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 0
 #: One row per source is broadcast while there are no more of them than this; beyond it Spark joins by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -57,12 +57,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
     )
 
 
-def draw(doc_id) -> F.Column:
-    """A number in [0, 1) from the first 52 bits of the MD5 of the id as text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+def draw(doc_id, text, seed: int = SEED) -> F.Column:
+    """A number in [0, 1) from the first 52 bits of the MD5 of seed, id and MD5 of the text."""
+    row = F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(row), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
+def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
     """Two structs a document: row, its columns; mix: size, source_size, target, copies."""
     sized = docs.select(F.struct(*every(docs)).alias("row")).withColumn("size", word_count(F.col("row.text")))
     sizes = sized.groupBy(F.col("row.source").alias("source")).agg(F.sum("size").alias("source_size"))
@@ -72,7 +73,7 @@ def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: f
         plan = F.broadcast(plan)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     base = F.floor(rate)
-    copies = (base + F.when(draw(F.col("row.doc_id")) < rate - base, 1).otherwise(0)).cast("long")
+    copies = (base + F.when(draw(F.col("row.doc_id"), F.col("row.text"), seed) < rate - base, 1).otherwise(0)).cast("long")
     joined = sized.join(plan, F.col("row.source").eqNullSafe(F.col("source")))
     return joined.select("row", F.struct("size", "source_size", "target", copies.alias("copies")).alias("mix"))
 
@@ -90,7 +91,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, text, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
     [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3] AS weight
@@ -110,7 +111,7 @@ WITH sized AS (
   FROM marked LEFT JOIN level ON true
 ), rated AS (
   SELECT s.doc_id, s.size, p.source_size, p.target, CASE WHEN p.source_size > 0 THEN p.target / p.source_size ELSE 0.0::DOUBLE END AS rate,
-    CAST(CAST('0x' || substr(md5(coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE AS u
+    CAST(CAST('0x' || substr(md5('0:' || coalesce(CAST(s.doc_id AS VARCHAR), '') || ':' || md5(coalesce(s.text, ''))), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
 )
 SELECT doc_id, size, source_size, target,
