@@ -7,12 +7,17 @@ same document) goes; the first copy of a run stays.
 1. Lines become ids (128 bits of two hashes). A line that occurs once ends every run, so
    only repeated lines are ranked: their sorted ids are the suffix array's first order.
 2. Prefix doubling: the ranks of a suffix and of the one h lines on, sorted as pairs, rank
-   the suffixes by 2h lines. Pairs are counted before they are sorted, so a run that a third
-   of all documents share is one row. The last step takes two overlapping prefixes, so
-   ``least`` need not be a power of two. Deeper order cannot change what goes: suffixes of
-   equal rank at depth ``least`` are exactly an LCP interval of that value or more, and
-   consecutive members of such intervals merge into the maximal repeated runs.
-3. The least position of each interval stays; the others mark their lines.
+   the suffixes by 2h lines; one step on the way ranks them by exactly ``least`` lines, by two
+   overlapping prefixes. Pairs are counted before they are sorted, so a run that a third of
+   all documents share is one row. Suffixes whose rank has become unique leave; it goes on
+   until none is left, so the last depth is beyond the longest repeated run.
+3. Suffixes of equal rank at depth h are an interval of the suffix array whose longest common
+   prefix is h or more; its first copy is the least position in it. Of the suffixes that are not
+   a first copy at depth ``least``, those begin a run that do not continue the run of the line
+   before them. Each takes the first copy of the deepest interval in which it is a later one;
+   their longest common prefix follows from the ranks at the depths below, from the deepest down.
+4. The runs found, each with its length and its first copy, are maximal: neither side goes on alike.
+   Together they hold every line of a later copy, and these lines go.
 
 Ranks are Spark's increasing ids over range-sorted pairs: order-preserving, and written
 down before use, so a recomputed task cannot change them.
@@ -32,47 +37,82 @@ from quern.llm.common import Scratch
 
 LEAST = 3
 _NO_ID = -(1 << 63)
+_PLACE = ["id", "tie", "pos"]
 
 
 def _ranked(rows: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
     """Of rows (id, tie, pos, keys): those whose keys occur more than once, with their rank by keys and the interval's first position."""
-    place = F.struct("id", "tie", "pos")
-    intervals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
+    intervals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_PLACE)).alias("first")).where("n > 1")
     ordered = intervals.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id() + 1).drop("n")
     ranks = scratch.save(ordered, f"ranks_{name}")
-    return rows.join(ranks, keys).select("id", "tie", "pos", "rank", "first")
+    return rows.join(ranks.hint("merge"), keys).select(*_PLACE, "rank", "first")  # a hot key's rows can be split, its one rank copied
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
-    """Of keyed docs (id, tie, text): id, tie, spans (structs of first line and the line after) of runs that go."""
-    lines = docs.where("text is not null")
-    lines = lines.select("id", "tie", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    hashed = lines.select("id", "tie", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b"))
+def suffix_levels(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> dict[int, DataFrame]:
+    """Of keyed docs (id, tie, text): by depth, the suffixes whose first so many lines occur more than once: id, tie, pos, rank, first."""
+    lines = docs.where("text is not null").select("id", "tie", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    hashed = lines.select(*_PLACE, F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b"))
     hashed = scratch.save(hashed.distinct(), "lines")
-    suffixes = scratch.save(_ranked(hashed, ["a", "b"], scratch, "1"), "suffixes_1")
-    depth = 1
+    levels, depth = {1: scratch.save(_ranked(hashed, ["a", "b"], scratch, "1"), "suffixes_1")}, 1
     in_doc = Window.partitionBy("id", "tie").orderBy("pos")
-    while depth < least:
-        step = min(depth, least - depth)
-        # lines that occur once are gone, so the neighbour must also be the right number of lines on
+    while depth < least or not levels[depth].isEmpty():
+        step = min(depth, least - depth) if depth < least else depth
+        # suffixes of unique rank are gone, so the neighbour must also be the right number of lines on
         ahead = F.when(F.lead("pos", step).over(in_doc) == F.col("pos") + step, F.lead("rank", step).over(in_doc))
-        pairs = suffixes.withColumn("next", ahead).where("next is not null").select("id", "tie", "pos", "rank", "next")
+        pairs = levels[depth].withColumn("next", ahead).where("next is not null").select(*_PLACE, F.col("rank").alias("own"), "next")
+        pairs = scratch.save(pairs, f"pairs_{depth}")
         depth += step
-        suffixes = scratch.save(_ranked(pairs.withColumnRenamed("rank", "own"), ["own", "next"], scratch, str(depth)), f"suffixes_{depth}")
-    later = suffixes.where((F.col("first.id") != F.col("id")) | (F.col("first.tie") != F.col("tie")) | (F.col("first.pos") != F.col("pos")))
-    # merge windows that touch into maximal runs
-    before = F.lag("pos").over(in_doc)
-    runs = later.withColumn("new", F.coalesce((F.col("pos") > before + least).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("id", "tie", "run").agg(F.min("pos").alias("begin"), (F.max("pos") + least).alias("end"))
-    return spans.groupBy("id", "tie").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+        levels[depth] = scratch.save(_ranked(pairs, ["own", "next"], scratch, str(depth)), f"suffixes_{depth}")
+    return levels
+
+
+def repeated_runs(levels: dict[int, DataFrame], scratch: Scratch, least: int = LEAST) -> DataFrame:
+    """Maximal runs that have an earlier copy: id, tie, pos, first (a struct of these of the copy), length."""
+    later = lambda df: df.where(F.struct(*_PLACE) != F.col("first"))
+    in_doc = Window.partitionBy("id", "tie").orderBy("pos")
+    behind = F.lag(F.struct("pos", "first")).over(in_doc)
+    goes_on = (behind["pos"] + 1 == F.col("pos")) & (behind["first"]["id"] == F.col("first.id")) & (behind["first"]["tie"] == F.col("first.tie")) & (behind["first"]["pos"] + 1 == F.col("first.pos"))
+    starts = later(levels[least]).withColumn("on", F.coalesce(goes_on, F.lit(False))).where("not on").select(*_PLACE, "first")
+    starts = scratch.save(starts, "starts")
+    # the deepest interval in which a start is a later copy
+    deeper = [later(levels[d]).select(*_PLACE, F.lit(d).alias("depth"), "first") for d in sorted(levels) if d > least]
+    every = starts.select(*_PLACE, F.lit(least).alias("depth"), "first")
+    for df in deeper:
+        every = every.unionByName(df.join(starts.select(*_PLACE), _PLACE, "left_semi"))
+    runs = every.groupBy(*_PLACE).agg(F.max_by(F.struct("depth", "first"), "depth").alias("x")).select(*_PLACE, "x.first", F.col("x.depth").alias("depth"), F.col("x.depth").alias("length"))
+    runs = scratch.save(runs, "runs")
+    most = runs.agg(F.max("depth")).first()[0] or 0
+    for d in sorted((d for d in levels if d < most), reverse=True):
+        # as many lines on, do both sides have the same rank at this depth?
+        some = runs.where(F.col("depth") > d)
+        sides = [some.select(*_PLACE, F.col(f"{of}id").alias("at_id"), F.col(f"{of}tie").alias("at_tie"), (F.col(f"{of}pos") + F.col("length")).alias("at_pos")) for of in ("", "first.")]
+        there = levels[d].select(*[F.col(c).alias(f"at_{c}") for c in _PLACE], "rank")
+        found = sides[0].unionByName(sides[1]).join(there.hint("merge"), ["at_id", "at_tie", "at_pos"])
+        alike = found.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("low"), F.max("rank").alias("high")).where("n = 2 and low = high")
+        longer = runs.join(alike.select(*_PLACE, F.lit(d).alias("more")), _PLACE, "left")
+        runs = scratch.save(longer.select(*_PLACE, "first", "depth", (F.col("length") + F.coalesce("more", F.lit(0))).alias("length")), f"runs_{d}")
+    return runs.drop("depth")
+
+
+def repeated_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
+    """Of keyed docs (id, tie, text): id, tie, spans (structs of first line and the line after) that go, runs they consist of."""
+    found = repeated_runs(suffix_levels(docs, scratch, least), scratch, least)
+    in_doc = Window.partitionBy("id", "tie").orderBy("pos")
+    so_far = F.max(F.col("pos") + F.col("length")).over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
+    apart = found.withColumn("new", F.coalesce((F.col("pos") > so_far).cast("int"), F.lit(1))).withColumn("nth", F.sum("new").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    run = F.struct(F.col("pos").alias("begin"), (F.col("pos") + F.col("length")).alias("end"), F.when(F.col("first.id") != _NO_ID, F.col("first.id")).alias("first_doc"), F.col("first.pos").alias("first_line"))
+    spans = apart.groupBy("id", "tie", "nth").agg(F.min("pos").alias("begin"), F.max(F.col("pos") + F.col("length")).alias("end"), F.collect_list(run).alias("runs"))
+    return spans.groupBy("id", "tie").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"), F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_lines, n_removed, spans, kept_text."""
+    """Per row of docs (doc_id, text): doc_id, n_lines, n_removed, spans, kept_text, runs (begin, end, first_doc, first_line)."""
     scratch = Scratch(spark)
-    keyed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("tie"), "text"
-    )
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    repeat = not docs.groupBy(id_.alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    # where no two rows have one doc_id, the text need not tell them apart
+    tie = F.coalesce(F.md5("text"), F.lit("")) if repeat else F.lit("")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_.alias("id"), tie.alias("tie"), "text")
     spans = scratch.save(repeated_lines(keyed, scratch, least), "spans")
     lines = F.split("text", "\n")
     # kept pieces: from the end of each span to the begin of the next
@@ -88,8 +128,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> Data
     removed = F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["begin"]), F.lit(0))
     return joined.select(
         "doc_id", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("_n"), removed.cast("long").alias("n_removed"), "spans",
-        F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"), F.col("text").isNull().alias("_no_text"),
-    ).select("doc_id", F.when(F.col("_no_text"), F.lit(0)).otherwise(F.col("_n")).cast("long").alias("n_lines"), "n_removed", "spans", "kept_text")
+        F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"), F.col("text").isNull().alias("_no_text"), "runs",
+    ).select("doc_id", F.when(F.col("_no_text"), F.lit(0)).otherwise(F.col("_n")).cast("long").alias("n_lines"), "n_removed", "spans", "kept_text", "runs")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
