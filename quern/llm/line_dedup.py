@@ -78,7 +78,7 @@ def repeated_runs(levels: dict[int, DataFrame], scratch: Scratch, least: int = L
     deeper = [later(levels[d]).select(*_PLACE, F.lit(d).alias("depth"), "first") for d in sorted(levels) if d > least]
     every = starts.select(*_PLACE, F.lit(least).alias("depth"), "first")
     for df in deeper:
-        every = every.unionByName(df.join(starts.select(*_PLACE), _PLACE, "left_semi"))
+        every = every.unionByName(df.join(starts.select(*_PLACE).hint("merge"), _PLACE, "left_semi"))
     runs = every.groupBy(*_PLACE).agg(F.max_by(F.struct("depth", "first"), "depth").alias("x")).select(*_PLACE, "x.first", F.col("x.depth").alias("depth"), F.col("x.depth").alias("length"))
     runs = scratch.save(runs, "runs")
     most = runs.agg(F.max("depth")).first()[0] or 0
@@ -89,7 +89,7 @@ def repeated_runs(levels: dict[int, DataFrame], scratch: Scratch, least: int = L
         there = levels[d].select(*[F.col(c).alias(f"at_{c}") for c in _PLACE], "rank")
         found = sides[0].unionByName(sides[1]).join(there.hint("merge"), ["at_id", "at_tie", "at_pos"])
         alike = found.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("low"), F.max("rank").alias("high")).where("n = 2 and low = high")
-        longer = runs.join(alike.select(*_PLACE, F.lit(d).alias("more")), _PLACE, "left")
+        longer = runs.join(alike.select(*_PLACE, F.lit(d).alias("more")).hint("merge"), _PLACE, "left")
         runs = scratch.save(longer.select(*_PLACE, "first", "depth", (F.col("length") + F.coalesce("more", F.lit(0))).alias("length")), f"runs_{d}")
     return runs.drop("depth")
 
