@@ -1,32 +1,32 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles.
 
 Weights.  A shingle is five consecutive words (all words of a shorter text) and
-weighs (1 + ln tf) * (1 + ln(1 / max(df / N, SHARE))): below a share of documents of
-``SHARE`` the idf is flat, so exact document counts are needed only for the few
-shingles above it. At most 2 / SHARE times the shingles of a mean document can
-reach half that share, which bounds what is counted, collected and broadcast.
-
-1. Counting. Partitions report shingles with at least SHARE / 2 of their own
-   documents; a shingle with SHARE of all documents has half of that or more in
-   reports. A second pass counts the survivors exactly.
-2. Sketching. ``ROWS * BANDS`` consistent weighted samples a text. The gamma and
-   uniform variates of a (shingle, sample) pair come from a fixed table through a
-   hash of the pair, so equal pairs draw equally everywhere.
+weighs (1 + ln tf) * (2 - ln df / ln N), where df of the N documents that have words hold
+it: 2 for a shingle of one document, 1 for one of all. Every shingle's documents are counted.
+
+0. Rows are written down with a number each, the digest of their text, and the block (about
+   ``BLOCK_BYTES`` of text) that they are counted in. Rows are what classes consist of; a
+   doc_id may be null or repeat.
+1. Counting. A block sends its distinct shingle hashes with their documents, sorted and packed,
+   to buckets by range of hash; so a shingle comes once a block, however many hold it. Buckets
+   add up and send the shingles of two documents or more back to the blocks that have them.
+2. Sketching. Blocks meet their counts and take ``ROWS * BANDS`` consistent weighted samples a
+   text. The gamma and uniform variates of a (shingle, sample) pair come from a fixed table
+   through a hash of the pair, so equal pairs draw equally everywhere.
 3. Candidates. Equal bands meet in buckets, which compare all sketches and return a
    forest of promising pairs (an estimate that a pair at the threshold falls below with
    probability 1.3e-4), never the pairs.
-4. Verification. Texts of a cluster of promising documents meet; pairs that links found
+4. Verification. Weighted shingles of a cluster of promising texts meet; pairs that links found
    so far do not connect yet are verified by exact weighted Jaccard similarity, and a
    forest of links returns. Large buckets and clusters are dealt in blocks (``_links``).
-5. Classes are the connected components of the links and of equal texts.
+5. Classes are the connected components of the links between distinct texts.
 
 With 16 bands of 4 rows a pair at 0.8 misses all bands with probability 2e-4.
 
-Edge cases.  Equal texts, the empty one too, are one class; null texts are alone;
-texts without words have no other links. Rows with equal doc_id are one document
-with several texts and share its class; each text without doc_id is a document of its
-own, a hash of the text in place of the id, and the class id is null where no text of the class
-has a doc_id. Extra columns are ignored by ``near_classes`` and
+Edge cases.  Equal texts, the empty one too, are one class; rows without text are alone;
+texts without words have no other links. Rows with equal doc_id are documents of their own.
+A class is named by its least doc_id, null where no row of it has one; its first row by
+(doc_id, nulls last; digest; number) is kept. Extra columns are ignored by ``near_classes`` and
 kept by ``near_dedup``; an empty table gives an empty result.
 """
 
@@ -36,24 +36,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch, Words, every, gram_hashes, mix, text_blocks
+from quern.llm.common import Scratch, Words, every, fresh, gram_hashes, input_bytes, mix, small_batches, text_blocks
 from quern.llm.graph import connected_components
 
-SHINGLE, THRESHOLD, SHARE = 5, 0.8, 0.05
+SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 4, 16
 SAMPLES = ROWS * BANDS
-#: Least equal samples of a promising pair; documents of a block.
+#: Least equal samples of a promising pair; documents of a block of candidates.
 PROMISING, BLOCK = 39, 512
 #: Blocks up to which all pairs of blocks of a key meet at once.
 WIDE = 16
+#: Text bytes of a block that shingles are counted by; stored bytes of the rows for a bucket.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 _TABLE = 1 << 16
 
 
 class Shingles:
-    """Distinct shingles of each text of a block: hash and tf, text d has ptr[d]:ptr[d+1]."""
+    """Distinct shingles of each text of a block: hash and tf, text d has ptr[d]:ptr[d+1], in order of hash."""
 
     def __init__(self, texts: pa.Array, n: int = SHINGLE):
         w = Words.of(texts)
@@ -74,73 +78,166 @@ class Shingles:
         self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.tf = np.concatenate(counts) if counts else np.zeros(0, np.int64)
 
-    def weights(self, heavy: tuple[np.ndarray, np.ndarray], share: float) -> np.ndarray:
-        """heavy: sorted hashes and their shares of documents."""
-        idf = np.full(len(self.hash), 1 + np.log(1 / share))
-        if len(heavy[0]):
-            at = np.minimum(np.searchsorted(heavy[0], self.hash), len(heavy[0]) - 1)
-            found = heavy[0][at] == self.hash
-            idf[found] = 1 + np.log(1 / np.maximum(heavy[1][at[found]], share))
-        return (1 + np.log(self.tf)) * idf
+    def weights(self, counts: Counts, docs: int) -> np.ndarray:
+        return (1 + np.log(self.tf)) * (2 - np.log(counts.of(self.hash)) / np.log(max(docs, 2)))
 
 
-def _report(share: float):
-    """Shingles with half the share of this flush's documents; row 0 of each flush is its document count."""
+def pack(hashes: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending hashes and a count of each, as planes of the bytes of their steps."""
+    planes = [np.diff(hashes, prepend=np.uint64(0)), n.astype(np.uint64) - np.uint64(1)]
+    return zstandard.compress(b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes() for x in planes), 1)
 
-    def flush(held: list[np.ndarray], docs: int) -> pa.RecordBatch:
-        every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-        cut = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
-        n = np.diff(np.append(cut, len(every)))
-        some = n >= share / 2 * docs
-        return pa.RecordBatch.from_pydict(
-            {"shingle": pa.array([None, *every[cut[some]].view(np.int64).tolist()], pa.int64()), "n": pa.array([docs, *n[some].tolist()], pa.int64())}
-        )
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    planes = [np.ascontiguousarray(x.reshape(8, -1).T).view(np.uint64)[:, 0] for x in (raw[: len(raw) // 2], raw[len(raw) // 2 :])]
+    return np.cumsum(planes[0], dtype=np.uint64), planes[1].astype(np.int64) + 1
+
+
+class Counts:
+    """Documents of shingles; those that are not listed have one."""
+
+    def __init__(self, blobs: list[bytes]):
+        parts = [unpack(b) for b in blobs]
+        hashes = np.concatenate([h for h, _ in parts]) if parts else np.zeros(0, np.uint64)
+        order = np.argsort(hashes)  # a block that two tasks read may list a shingle twice, alike
+        self.hashes = hashes[order]
+        self.n = np.concatenate([n for _, n in parts])[order] if parts else np.zeros(0, np.int64)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.ones(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.n[at], 1)
+
+
+def _placed(limit: int, names: list[str]):
+    """Adds number, block and whether there are words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs, size = [], 0, 0
-        for t in text_blocks(batches):
-            s = Shingles(t["text"])
-            held.append(s.hash)
-            docs += int((np.diff(s.ptr) > 0).sum())
-            size += len(s.hash)
-            if docs >= 20 / share and size >= 1 << 21 or size >= 6 << 20:
-                yield flush(held, docs)
-                held, docs, size = [], 0, 0
-        if docs:
-            yield flush(held, docs)
+        from pyspark import TaskContext
+
+        part, rows, size = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            text = batch.column("text")
+            ends = size + np.cumsum(pc.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            begins = np.concatenate(([size], ends[:-1]))[: batch.num_rows]
+            wordy = pc.match_substring_regex(text, "[^ \\t-\\r]").fill_null(False)
+            new = [pa.array((part << 33) + rows + np.arange(batch.num_rows)), pa.array((part << 31) + begins // limit), wordy]
+            rows, size = rows + batch.num_rows, int(ends[-1]) if batch.num_rows else size
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
     return run
 
 
-def _count(wanted: np.ndarray):
+def _numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """docs written with a number a row, and of it: row, block, wordy, doc_id, digest, text."""
+    small_batches(docs.sparkSession)
+    names = [fresh(n, docs.columns) for n in ("digest", "row", "block", "wordy")]
+    known = docs.withColumn(names[0], F.md5(F.col("text")))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema.fields)
+    saved = scratch.save(known.mapInArrow(_placed(BLOCK_BYTES, names[1:]), f"{ddl}, `{names[1]}` long, `{names[2]}` long, `{names[3]}` boolean"), "rows")
+    digest, row, block, wordy = (F.col(f"`{n}`") for n in names)
+    return saved, saved.select(row.alias("row"), block.alias("block"), wordy.alias("wordy"), F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), F.col("text"))
+
+
+_BLOBS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("packed", pa.binary())])
+
+
+def _hashes(buckets: int):
+    """Distinct hashes of each block with their documents, by range of hash."""
+
+    def packed(block: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.sort(np.concatenate(held))
+        cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
+        n, h = np.diff(np.append(cut, len(h))), h[cut]
+        bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        lo = np.flatnonzero(np.diff(bucket, prepend=-1))
+        hi = np.append(lo[1:], len(h))
+        blobs = [pack(h[a:b], n[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[lo]), pa.array(np.full(len(lo), block)), pa.array(blobs, pa.binary())], schema=_BLOBS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(wanted), np.int64)
+        block, held = None, []
         for t in text_blocks(batches):
-            h = Shingles(t["text"]).hash
-            at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-            total += np.bincount(at[wanted[at] == h], minlength=len(wanted))
-        some = total > 0
-        yield pa.RecordBatch.from_pydict({"shingle": pa.array(wanted[some].view(np.int64)), "n": pa.array(total[some])})
+            s, of = Shingles(t["text"]), t["block"].to_numpy()
+            cut = np.flatnonzero(np.diff(of, prepend=-1))
+            for a, b in zip(cut.tolist(), np.append(cut[1:], len(of)).tolist(), strict=True):
+                if held and of[a] != block:
+                    yield packed(block, held)
+                    held = []
+                block = int(of[a])
+                held.append(s.hash[s.ptr[a] : s.ptr[b]])
+        if held:
+            yield packed(block, held)
 
     return run
 
 
-def heavy_shingles(docs: DataFrame, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
-    """Exact shares of documents of the shingles that reach ``share``: at most shingles a document / share of them."""
-    texts = docs.select("text")
-    found = texts.mapInArrow(_report(share), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    # the count of documents is the null row; a broadcast of one row
-    total = F.first(F.when(F.col("shingle").isNull(), F.col("n")), ignorenulls=True)
-    found = Scratch(docs.sparkSession).save(found, "reported")
-    docs_total = found.agg(total.alias("n")).first()["n"] or 0
-    wanted = [r[0] for r in found.where(F.col("shingle").isNotNull() & (F.col("n") >= share / 2 * docs_total)).select("shingle").collect()] if docs_total else []
-    if not wanted:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    wanted = np.sort(np.array(wanted, np.int64).view(np.uint64))
-    rows = texts.mapInArrow(_count(wanted), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= share * docs_total).collect()
-    hashes, n = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.float64)
-    order = np.argsort(hashes)
-    return hashes[order], n[order] / docs_total
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: what each block must know of it, the hashes of two documents or more."""
+    def settle(blocks: list[int], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [unpack(b) for b in blobs]
+        h, n = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+        order = np.argsort(h)
+        ordered = h[order]
+        cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), ordered[1:] != ordered[:-1])))
+        total = np.empty(len(h), np.int64)
+        total[order] = np.repeat(np.add.reduceat(n[order], cut), np.diff(np.append(cut, len(h)))) if len(h) else 0
+        at, out = 0, []
+        for block, (x, _) in zip(blocks, parts, strict=True):
+            own = total[at : at + len(x)]
+            some = own > 1
+            if some.any():
+                out.append((block, pack(x[some], own[some])))
+            at += len(x)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["block", "packed"])
+
+    bucket, blocks, blobs = None, [], []
+    for batch in batches:
+        for k, block, blob in zip(*(batch.column(c).to_pylist() for c in _BLOBS.names), strict=True):
+            if k != bucket and blobs:
+                yield from settle(blocks, blobs)
+                blocks, blobs = [], []
+            bucket = k
+            blocks.append(block)
+            blobs.append(blob)
+    if blobs:
+        yield from settle(blocks, blobs)
+
+
+def document_counts(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Of numbered rows: (block, packed) with the documents of all shingles that two or more have, and the documents with words."""
+    n = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    buckets = n * max(1, -(-input_bytes(keyed) // (n * BUCKET_BYTES)))
+    routed = keyed.where("wordy").select("block", "text").mapInArrow(_hashes(buckets), "bucket long, block long, packed binary")
+    dealt = routed.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket")
+    return scratch.save(dealt.mapInArrow(_summed, "block long, packed binary"), "counts"), keyed.agg(F.count_if("wordy").alias("n")).first()["n"]
+
+
+def _meet(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows (with block and text) of each block behind the counts of the block."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    both = counts.withColumn("ord", F.lit(0)).unionByName(rows.withColumn("ord", F.lit(1)), allowMissingColumns=True)
+    return both.repartition(n, "block").sortWithinPartitions("block", "ord")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Counts]]:
+    """Tables of about the size of ``text_blocks`` of the rows of one block, with its counts."""
+    block, blobs, counts = None, [], Counts([])
+    for t in text_blocks(batches):
+        of, ord_ = t["block"].to_numpy(), t["ord"].to_numpy()
+        cut = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(ord_, prepend=-1) != 0))
+        for a, b in zip(cut.tolist(), np.append(cut[1:], len(of)).tolist(), strict=True):
+            if of[a] != block:
+                block, blobs, counts = of[a], [], None
+            if ord_[a] == 0:
+                blobs += t["packed"].slice(a, b - a).to_pylist()
+                continue
+            if counts is None:
+                blobs, counts = [], Counts(blobs)
+            yield t.slice(a, b - a), counts
 
 
 def _sortable(x: np.ndarray) -> np.ndarray:
@@ -193,13 +290,13 @@ class Sampler:
         return out
 
 
-def _sketches(heavy: tuple[np.ndarray, np.ndarray], share: float):
+def _sketches(docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(1 + np.log(1 / share))
-        for t in text_blocks(batches):
+        sampler = Sampler(2.0)
+        for t, counts in _met(batches):
             s = Shingles(t["text"])
             some = np.flatnonzero(np.diff(s.ptr) > 0)
-            x = sampler.sketch(s.hash, s.weights(heavy, share), s.ptr[some])
+            x = sampler.sketch(s.hash, s.weights(counts, docs), s.ptr[some])
             bands = np.zeros((len(some), BANDS), np.uint64)
             for r in range(ROWS):
                 bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + x[:, r::ROWS])
@@ -208,9 +305,22 @@ def _sketches(heavy: tuple[np.ndarray, np.ndarray], share: float):
             keys, sig = np.empty(t.num_rows, object), np.empty(t.num_rows, object)
             for d, row, sign in zip(some.tolist(), mix(bands).view(np.int64).tolist(), signs, strict=True):
                 keys[d], sig[d] = row, sign.tobytes()
-            yield pa.RecordBatch.from_pydict(
-                {"id": t["id"].combine_chunks(), "digest": t["digest"].combine_chunks(), "bands": pa.array(keys, pa.list_(pa.int64())), "sig": pa.array(sig, pa.binary())}
-            )
+            own = {c: t[c].combine_chunks() for c in ("row", "block", "doc_id", "digest")}
+            yield pa.RecordBatch.from_pydict(own | {"bands": pa.array(keys, pa.list_(pa.int64())), "sig": pa.array(sig, pa.binary())})
+
+    return run
+
+
+def _vectors(docs: int):
+    """Weighted shingles in place of the text: hashes, then weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, counts in _met(batches):
+            s = Shingles(t["text"])
+            w = s.weights(counts, docs)
+            own = {c: t[c].combine_chunks() for c in ("key", "id", "blocks", "sig")}
+            cut = list(zip(s.ptr[:-1].tolist(), s.ptr[1:].tolist(), strict=True))
+            yield pa.RecordBatch.from_pydict(own | {"vector": pa.array([s.hash[a:b].tobytes() + w[a:b].tobytes() for a, b in cut], pa.binary())})
 
     return run
 
@@ -318,12 +428,9 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
 
-def _verified(heavy: tuple[np.ndarray, np.ndarray], share: float, threshold: float):
-    def similarity(s: Shingles, w: np.ndarray, i: int, j: int) -> float:
-        a, b, c, d = s.ptr[i], s.ptr[i + 1], s.ptr[j], s.ptr[j + 1]
-        h, k, x, y = s.hash[a:b], s.hash[c:d], w[a:b], w[c:d]
-        if len(h) > len(k):
-            h, k, x, y = k, h, y, x
+def _verified(threshold: float):
+    def similarity(vectors: list[tuple[np.ndarray, np.ndarray]], i: int, j: int) -> float:
+        (h, x), (k, y) = sorted((vectors[i], vectors[j]), key=lambda v: len(v[0]))
         at = np.minimum(np.searchsorted(k, h), len(k) - 1)
         both = k[at] == h
         common = np.minimum(x[both], y[at[both]]).sum()
@@ -337,9 +444,9 @@ def _verified(heavy: tuple[np.ndarray, np.ndarray], share: float, threshold: flo
                     continue
                 part = t.slice(lo, hi - lo)
                 ids, sig = part["id"].to_numpy(), _signs(part)
-                s = Shingles(part["text"].combine_chunks())
-                w = s.weights(heavy, share)
-                total = np.array([x.sum() for x in np.split(w, s.ptr[1:-1])])
+                raw = [np.frombuffer(v.as_buffer(), np.uint64) for v in part["vector"].combine_chunks()]
+                vectors = [(v[: len(v) // 2], v[len(v) // 2 :].view(np.float64)) for v in raw]
+                total = np.array([x.sum() for _, x in vectors])
                 n = len(ids)
                 alike = _alike(sig, sig)
                 x, y = np.nonzero(np.triu(alike >= PROMISING, 1))
@@ -350,7 +457,7 @@ def _verified(heavy: tuple[np.ndarray, np.ndarray], share: float, threshold: flo
                 for i, part_of in enumerate(part["part"].to_pylist()):  # connected before: no need to compare
                     forest.join(known.setdefault(part_of, i), i)
                 for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
-                    if forest.root(i) != forest.root(j) and similarity(s, w, i, j) >= threshold:
+                    if forest.root(i) != forest.root(j) and similarity(vectors, i, j) >= threshold:
                         forest.join(i, j)
                         found.append((int(ids[i]), int(ids[j])))
                 if found:
@@ -400,72 +507,59 @@ def _links(rows: DataFrame, sizes: DataFrame, kernel, scratch: Scratch, name: st
     return found.unionByName(scratch.save(_dealt(second).mapInArrow(kernel, "a long, b long"), f"{name}_second"))
 
 
-def _node(doc_id, digest) -> F.Column:
-    """The doc_id as long, or for a text without one a hash of the text."""
-    return F.coalesce(F.col(doc_id).cast("long"), _own_node(digest))
-
-
-def _own_node(digest) -> F.Column:
-    return F.xxhash64(F.lit("no doc_id"), digest)
-
-
-def _any_without_id(docs: DataFrame) -> bool:
-    return not docs.where(F.col("doc_id").cast("long").isNull()).limit(1).isEmpty()
-
-
-def _classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
-    """One row per row of docs (doc_id, text): id (``_node``), doc_id, digest, class_id (least doc_id of the class), kept (the class's first node)."""
-    scratch = Scratch(spark)
-    keyed = docs.select(_node("doc_id", F.md5("text")).alias("id"), F.md5("text").alias("digest"), "text")
-    heavy = heavy_shingles(docs, share)
-    sketches = scratch.save(keyed.mapInArrow(_sketches(heavy, share), "id long, digest string, bands array<long>, sig binary"), "sketches")
-    firsts = scratch.save(sketches.groupBy("digest").agg(F.min("id").alias("first")), "firsts")  # as a table, so that a hot join can be split
-    copies = sketches.select("id", "digest").join(firsts, "digest").where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+def _classes(spark: SparkSession, keyed: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """Of numbered rows, one row per distinct text: digest, class_id (least doc_id of its class), kept_row (the row that stands for the class)."""
+    counts, docs = document_counts(keyed, scratch)
+    texts = keyed.where("text is not null").select("row", "block", "doc_id", "digest", "text")
+    sketches = scratch.save(_meet(texts, counts).mapInArrow(_sketches(docs), "row long, block long, doc_id long, digest string, bands array<long>, sig binary"), "sketches")
     # one row per distinct text: the partial aggregation keeps copies from travelling
-    distinct = sketches.where("sig is not null").groupBy("digest").agg(F.min(F.struct("id", "bands", "sig")).alias("x")).select("digest", "x.*")
-    distinct = scratch.save(distinct, "distinct")
-    banded = distinct.select(F.explode("bands").alias("key"), "id", "sig")
-    buckets = _sizes(distinct.select(F.explode("bands").alias("key")), scratch, "buckets")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "block", "bands", "sig")
+    distinct = scratch.save(sketches.groupBy("digest").agg(F.min(first).alias("x")).select("digest", F.col("x.row").alias("id"), "x.no_id", "x.doc_id", "x.block", "x.bands", "x.sig"), "distinct")
+    scratch.drop("sketches")
+    some = distinct.where("sig is not null")
+    banded = some.select(F.explode("bands").alias("key"), "id", "sig")
+    buckets = _sizes(some.select(F.explode("bands").alias("key")), scratch, "buckets")
     clusters = connected_components(spark, _links(banded.join(buckets.hint("merge"), "key"), buckets, _promising, scratch, "promising"))
-    chosen = clusters.join(distinct.select("id", "digest", "sig"), "id").select(F.col("component").alias("key"), "id", "digest", "sig")
+    chosen = clusters.join(some.select("id", "sig"), "id").select(F.col("component").alias("key"), "id", "sig")
     chosen = scratch.save(chosen, "chosen")
     groups = _sizes(chosen, scratch, "groups")
-    texts = keyed.join(chosen.join(groups, "key").hint("merge"), ["id", "digest"]).dropDuplicates(["id", "digest"]).select("key", "id", "blocks", "sig", "text")
-    texts = scratch.save(texts, "texts")
-    links = _links(texts, groups, _verified(heavy, share, threshold), scratch, "verified")
-    classes = connected_components(spark, scratch.save(links.unionByName(copies), "links"))
-    out = sketches.select("id", "digest").join(classes, "id", "left").withColumn("class_id", F.coalesce("component", "id"))
-    if not _any_without_id(docs):
-        return out.select("id", F.col("id").alias("doc_id"), "digest", "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
-    doc_id = F.when(F.col("id") != _own_node("digest"), F.col("id"))
-    out = scratch.save(out.select("id", doc_id.alias("doc_id"), "digest", F.col("class_id").alias("component")), "classes")
-    # a doc_id stands before any text without one
-    first = out.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.min("id").alias("least"))
-    first = scratch.save(first, "class_ids")
-    return out.join(first, "component").select("id", "doc_id", "digest", "class_id", (F.col("id") == F.coalesce("class_id", "least")).alias("kept"))
-
-
-def near_classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, digest, class_id (least doc_id of the class)."""
-    return _classes(spark, docs, threshold, share).select("doc_id", "digest", "class_id")
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """docs without near copies: of each class the row of least doc_id (of several such, the one of least text digest), of texts without doc_id one."""
-    classes = _classes(spark, docs, **options)
-    kept = classes.where("kept").select("id", F.coalesce("digest", F.lit("")).alias("digest"))
-    kept = kept.groupBy("id").agg(F.min("digest").alias("digest"))
-    rows = docs.select(F.struct(*every(docs)).alias("row"))
-    keyed = rows.withColumn("id", _node("row.doc_id", F.md5("row.text"))).withColumn("digest", F.coalesce(F.md5("row.text"), F.lit("")))
-    joined = keyed.join(kept.hint("merge"), ["id", "digest"])
-    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():  # rows equal in id and text: one stays
-        joined = joined.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("digest"))).where("nth = 1")
-    return joined.select("row.*")
+    members = chosen.join(groups.hint("merge"), "key")
+    held = keyed.select(F.col("row").alias("id"), "block", "text").join(members.hint("merge"), "id").select("block", "key", "id", "blocks", "sig", "text")
+    vectors = scratch.save(_meet(held, counts).mapInArrow(_vectors(docs), "key long, id long, blocks int, sig binary, vector binary"), "vectors")
+    scratch.drop("counts")
+    links = scratch.save(_links(vectors, groups, _verified(threshold), scratch, "verified"), "links")
+    scratch.drop("vectors")
+    classes = connected_components(spark, links)
+    nodes = distinct.select("digest", "id", F.struct("no_id", "doc_id", "digest", F.col("id").alias("row")).alias("first")).join(classes, "id", "left")
+    nodes = scratch.save(nodes.select("digest", F.coalesce("component", "id").alias("component"), "first"), "nodes")
+    least = scratch.save(nodes.groupBy("component").agg(F.min("first").alias("first")), "least")  # as a table, so that a join with a hot class can be split
+    return scratch.save(nodes.drop("first").join(least.hint("merge"), "component").select("digest", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("kept_row")), "classes")
+
+
+def near_classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, digest, class_id (least doc_id of the class), kept (it stands for the class)."""
+    scratch = Scratch(spark)
+    _, keyed = _numbered(docs.select("doc_id", "text"), scratch)
+    ids = scratch.save(keyed.select("row", "doc_id", "digest"), "ids")
+    classes = _classes(spark, keyed, scratch, threshold)
+    scratch.drop("rows")
+    found = ids.join(classes.hint("merge"), "digest", "left")
+    alone = F.col("digest").isNull()
+    return found.select("doc_id", "digest", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (alone | (F.col("row") == F.col("kept_row"))).alias("kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without near copies: of each class the row of least doc_id (of several such, the one of least text digest); all rows without text."""
+    scratch = Scratch(spark)
+    saved, keyed = _numbered(docs, scratch)
+    classes = _classes(spark, keyed, scratch, threshold)
+    kept = classes.select(F.col("kept_row").alias("row")).distinct().unionByName(keyed.where("digest is null").select("row"))
+    number = saved.columns[-3]
+    return saved.join(kept.hint("merge"), saved[f"`{number}`"] == kept["row"], "left_semi").select(*every(docs))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_classes(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return near_classes(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "kept")
 
 
 OP4_SQL = """

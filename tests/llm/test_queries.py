@@ -91,16 +91,28 @@ def test_sampler_estimates(spark):
     assert abs(np.mean(est) - np.mean(true)) < 0.02
 
 
-def test_heavy_shingles_are_exact(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    hashes, shares = near_dedup.heavy_shingles(docs)
+def test_document_counts_are_exact(spark, small, monkeypatch):
+    """Every block knows the documents of all its shingles, whatever blocks and buckets there are."""
     import pyarrow as pa
 
-    own = [near_dedup.Shingles(pa.array([t])).hash for t in texts_of(spark, small).values()]
-    own = [h for h in own if len(h)]
-    every, n = np.unique(np.concatenate(own), return_counts=True)
-    want = {int(h): c / len(own) for h, c in zip(every, n, strict=True) if c >= 0.05 * len(own)}
-    assert {int(h): pytest.approx(x) for h, x in zip(hashes, shares, strict=True)} == want
+    from quern.llm.common import Scratch
+
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 30_000)
+    monkeypatch.setattr(near_dedup, "BUCKET_BYTES", 20_000)
+    scratch = Scratch(spark)
+    _, keyed = near_dedup._numbered(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"), scratch)
+    counts, docs = near_dedup.document_counts(keyed, scratch)
+    own = {d: near_dedup.Shingles(pa.array([t])).hash for d, t in texts_of(spark, small).items()}
+    every, n = np.unique(np.concatenate(list(own.values())), return_counts=True)
+    known = dict(zip(every.tolist(), n.tolist(), strict=True))
+    assert docs == sum(len(h) > 0 for h in own.values())
+    blobs = {}
+    for r in counts.collect():
+        blobs.setdefault(r["block"], []).append(bytes(r["packed"]))
+    assert len(blobs) > 5
+    for r in keyed.where("wordy").select("block", "doc_id").collect():
+        h = own[r["doc_id"]]
+        assert near_dedup.Counts(blobs.get(r["block"], [])).of(h).tolist() == [known[x] for x in h.tolist()]
 
 
 @pytest.mark.parametrize("wide", [1, 3, 16])

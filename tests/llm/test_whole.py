@@ -49,3 +49,31 @@ def test_near_dedup_keeps_texts_without_doc_id(spark):
     assert got == {(d, md5(t)): {text[0]: 5, text[1]: 9, text[3]: 7}.get(t) for d, t in rows}
     kept = [tuple(r) for r in near_dedup.near_dedup(spark, docs).collect()]
     assert sorted(kept, key=repr) == sorted([(5, text[0]), (9, text[1]), (7, text[3]), (None, text[2]), (None, None)], key=repr)
+
+
+def test_near_dedup_loses_no_row(spark):
+    """Rows with null and repeated ids, by SQL: classes consist of rows, and each keeps one."""
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    base = [[f"{c}{i}" for i in range(80)] for c in "abcdef"]
+    rows = []
+    for b in base:
+        for d in (5, 5, None, 9, None):
+            words = list(b)
+            if rng.random() < 0.6:
+                words[int(rng.integers(0, 80))] = f"n{len(rows)}"
+            rows.append((d, " ".join(words)))
+    rows += [(5, rows[0][1]), (None, rows[2][1]), (3, None), (3, None), (None, None), (4, ""), (6, ""), (None, " "), (1, "two words"), (2, "two words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.sql(near_dedup.OP4_SQL).fetchall()
+    got = near_dedup.near_classes(spark, docs)
+    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["class_id"], r["kept"])) for r in got.collect())
+    kept = near_dedup.near_dedup(spark, docs).collect()
+    assert sorted(repr(r["doc_id"]) for r in kept) == sorted(repr(d) for d, _, k in want if k)
+    texts = {r["text"] for r in kept}
+    for b in base:  # something of every group stays
+        assert any(t and t.startswith(f"{b[0][0]}1 ") or t and f" {b[0][0]}40 " in t for t in texts)
