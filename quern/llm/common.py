@@ -13,6 +13,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def no_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a finished write are of no more use."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Scratch:
     """Written intermediate tables of one operator call.
 
@@ -95,13 +108,8 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
-        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(key, None)
-        self.spark.conf.set(key, "true")  # shuffle files of a finished write are of no more use
-        try:
+        with no_shuffle_files(self.spark):
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        finally:
-            self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
