@@ -45,6 +45,20 @@ def soundex(word: Column) -> Column:
     return F.when(upper.rlike("^[A-Z]"), F.rpad(F.concat(F.substring(upper, 1, 1), coded), 4, "0"))
 
 
+def soundex_code(word: str) -> str | None:
+    """``soundex`` of a query's word."""
+    table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "01230120022455012623010202")
+    upper = word.upper()
+    if not upper or not "A" <= upper[0] <= "Z":
+        return None
+    digits, coded = upper.translate(table)[:64], []
+    for i, c in enumerate(digits):
+        if c.isdigit() and i and digits[i - 1] == c:
+            continue
+        coded.append(c)
+    return (upper[0] + "".join(c for c in coded[1:] if c in "123456") + "000")[:4]
+
+
 def suffixes(token: Column) -> Column:
     """Suffixes of tokens of four or more characters, from the second character on, of two bytes or more."""
     from_each = F.transform(F.sequence(F.lit(2), F.greatest(F.length(token), F.lit(2))), lambda i: F.substring(token, i, F.length(token)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.functions.porter import stem
 from quern.functions.values import is_numeric, to_number
 from quern.plans.expressions import Compiler
 
@@ -25,7 +26,7 @@ class Field:
     separator: str = ","
     case_sensitive: bool = False
     sortable: bool = False
-    stem: bool = False
+    stem: bool = True
     phonetic: bool = False
     suffixes: bool = False
     index_empty: bool = False
@@ -100,6 +101,38 @@ class Index:
             found = F.filter(found, lambda t: ~t.isin(sorted(self.stopwords)))
         return found
 
+    def has_variants(self, f: Field) -> bool:
+        return self.stems(f) or f.phonetic or f.suffixes or bool(self.synonyms)
+
+    def stems(self, f: Field) -> bool:
+        return f.stem and self.language == "english"
+
+    def variants(self, f: Field, raw: bool = False) -> Column:
+        """Tokens of a text field, and once each what else they can be found by: synonyms, stems, phonetic codes, suffixes."""
+        own = self.tokens(f, raw)
+        every = own
+        for group in self.synonyms:
+            terms = F.array(*[F.lit(t.lower()) for t in group])
+            every = F.concat(every, F.when(F.arrays_overlap(own, terms), terms).otherwise(F.array().cast("array<string>")))
+        more = [every] if self.synonyms else []
+        if self.stems(f):
+            more.append(T.stems(every))
+        if f.phonetic:
+            codes = F.transform(every, lambda t: F.concat(F.lit("phon"), F.lower(T.soundex(t))))
+            more.append(F.filter(codes, lambda t: t.isNotNull()))
+        if f.suffixes:
+            more.append(F.flatten(F.transform(every, T.suffixes)))
+        return F.concat(own, F.array_except(F.concat(*more), own)) if more else own
+
+    def asked(self, f: Field, word: str) -> list[str]:
+        """By what the variants of a field are searched for a word."""
+        found = [word]
+        if self.stems(f):
+            found.append(stem(word))
+        if f.phonetic and (code := T.soundex_code(word)):
+            found.append(f"phon{code.lower()}")
+        return list(dict.fromkeys(found))
+
     def numbers(self, f: Field) -> Column:
         """All numbers of a field as an array."""
         return F.filter(F.transform(self.values(f), to_number), lambda x: x.isNotNull())

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from quern.functions import geo as G
 from quern.functions import text as T
-from quern.functions.porter import stem
 from quern.functions.values import is_numeric
 from quern.functions.vectors import distance
 from quern.plans import query as Q
@@ -28,7 +27,8 @@ class Compiled:
     verbatim: bool = False
     keep_stopwords: bool = False
     tokens: dict[str, Column] = field(default_factory=dict)
-    terms: list[tuple[str, tuple[str, ...] | None, float]] = field(default_factory=list)
+    #: Word, fields, weight, and whether its variants are searched for.
+    terms: list[tuple[str, tuple[str, ...] | None, float, bool]] = field(default_factory=list)
     knn: Q.VectorKnn | None = None
     ranged: Q.VectorRange | None = None
     slop: int | None = None
@@ -42,6 +42,14 @@ class Compiled:
         self.tokens[name] = self.index.tokens(f, raw=self.keep_stopwords)
         return F.col(f"`{name}`") if self.scope is None else self.scope[name]
 
+    def variant_column(self, f: Field) -> Column:
+        if not self.index.has_variants(f):
+            return self.token_column(f)
+        name = f"_variants_{f.name}"
+        self.tokens[name] = self.index.variants(f, raw=self.keep_stopwords)
+        self.in_python = self.in_python or self.index.stems(f)
+        return F.col(f"`{name}`") if self.scope is None else self.scope[name]
+
     def _texts(self, names: tuple[str, ...] | None) -> list[Field]:
         found = self.index.text_fields(names)
         if names is not None and not found and not any(f.name in names for f in self.index.fields):
@@ -57,28 +65,15 @@ class Compiled:
         w = "".join(c for i, c in enumerate(word.lower()) if not (c in "'.,’" and 0 < i < len(word) - 1))
         return [w]
 
-    def equals(self, word: str) -> list[str]:
-        w = self.words(word)[0]
-        groups = [g for g in self.index.synonyms if w in g]
-        return sorted({w, *(x.lower() for g in groups for x in g)}) if not self.verbatim else [w]
-
     def _word(self, node: Q.Text, names, weight: float) -> Column:
         if not self.keep_stopwords and node.word.lower() in self.index.stopwords:
             return F.lit(True)
-        equal = self.equals(node.word)
-        self.terms += [(w, names, weight) for w in equal]
+        word = self.words(node.word)[0]
+        self.terms.append((word, names, weight, not self.verbatim))
         out = F.lit(False)
         for f in self._texts(names):
-            own = self.token_column(f)
-            part = F.array_contains(own, equal[0]) if len(equal) == 1 else F.arrays_overlap(own, F.array(*map(F.lit, equal)))
-            if not self.verbatim and f.stem and self.index.language == "english":
-                self.in_python = True
-                part = part | F.array_contains(T.stems(own), stem(equal[0]))
-            if not self.verbatim and f.phonetic:
-                part = part | F.exists(own, lambda t: T.soundex(t) == T.soundex(F.lit(equal[0])))
-            if not self.verbatim and f.suffixes:
-                part = part | F.exists(own, lambda t: F.array_contains(T.suffixes(t), equal[0]))
-            out = out | part
+            own, asked = (self.token_column(f), [word]) if self.verbatim else (self.variant_column(f), self.index.asked(f, word))
+            out = out | (F.array_contains(own, word) if len(asked) == 1 else F.arrays_overlap(own, F.array(*map(F.lit, asked))))
         return out
 
     def _phrase(self, node: Q.Phrase, names, weight: float) -> Column:
@@ -87,7 +82,7 @@ class Compiled:
             words = [w for w in words if w not in self.index.stopwords]
         if not words:
             return F.lit(True)
-        self.terms += [(w, names, weight) for w in words]
+        self.terms += [(w, names, weight, False) for w in words]
         slop, inorder = (node.slop, node.inorder) if self.slop is None else (self.slop, self.inorder)
         out = F.lit(False)
         for f in self._texts(names):

@@ -21,12 +21,15 @@ def document_score(index: Index) -> Column:
     return F.when((x >= 0) & (x != float("inf")) & ~F.isnan(x), x).otherwise(F.lit(float(index.score)))
 
 
-def _places(index: Index, plan: Compiled) -> list[tuple[str, object, float]]:
-    """(term, field, weight), once for each field that a term is looked for in."""
+def _places(index: Index, plan: Compiled) -> list[tuple[str, str, float]]:
+    """(term, token column, weight), once for each column that a term, or a variant of it, is looked for in."""
     seen = {}
-    for word, names, weight in plan.terms:
+    for word, names, weight, varied in plan.terms:
         for f in index.text_fields(names):
-            seen[word, f.name] = max(weight * f.weight, seen.get((word, f.name), 0.0))
+            varied_here = varied and index.has_variants(f)
+            for w in index.asked(f, word) if varied_here else [word]:
+                place = w, f"_{'variants' if varied_here else 'tokens'}_{f.name}"
+                seen[place] = max(weight * f.weight, seen.get(place, 0.0))
     return [(w, n, x) for (w, n), x in sorted(seen.items())]
 
 
@@ -47,10 +50,10 @@ def with_score(index: Index, documents: DataFrame, plan: Compiled, scorer: str)
     places = _places(index, plan)
     if not places:
         return documents, F.lit(1.0)
-    own = lambda n: F.col(f"`_tokens_{n}`")
+    own = lambda n: F.col(f"`{n}`")
     fields = sorted({n for _, n, _ in places})
     counts = [F.count(F.lit(1)).alias("n")]
-    counts += [F.avg(F.size(own(n)).cast("double")).alias(f"l_{n}") for n in fields]
+    counts += [F.avg(F.size(own(n)).cast("double")).alias(f"l{n}") for n in fields]
     counts += [F.count_if(F.array_contains(own(n), w)).alias(f"d{i}") for i, (w, n, _) in enumerate(places)]
     stats = documents.agg(*counts).first()
     total, parts = stats["n"], {}
@@ -58,7 +61,7 @@ def with_score(index: Index, documents: DataFrame, plan: Compiled, scorer: str)
         df = stats[f"d{i}"]
         idf = F.ln(F.lit(1 + (total - df + 0.5) / (df + 0.5)))
         tf = _times(own(n), w)
-        length = F.size(own(n)).cast("double") / F.lit(float(stats[f"l_{n}"] or 1.0))
+        length = F.size(own(n)).cast("double") / F.lit(float(stats[f"l{n}"] or 1.0))
         parts.setdefault(w, []).append(F.lit(weight) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length)))
     add = lambda xs: reduce(lambda a, b: a + b, xs)
     if scorer == "DISMAX":

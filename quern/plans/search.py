@@ -113,7 +113,7 @@ def search(
     sort_key = F.coalesce(text, number.cast("string"))
     payload = F.col(index.payload_field) if index.payload_field else F.lit(None).cast("string")
     wanted = [(r, r) if isinstance(r, str) else tuple(r) for r in (returns if returns is not None else [f.name for f in index.fields if not isinstance(f.source, tuple) and f.kind != "VECTOR"])]
-    words = sorted({w for w, _, _ in plan.terms})
+    words = sorted({w for w, *_ in plan.terms})
     shown = []
     for name, alias in wanted:
         c = index.column(index.field(name)) if any(f.name == name for f in index.fields) else F.col(f"`{name}`")
@@ -150,6 +150,7 @@ def hybrid(
     alpha: float = 0.5,
     beta: float = 0.5,
     scorer: str = "BM25STD",
+    verbatim: bool = False,
     post_filter: str | None = None,
     limit: tuple[int, int] | None = (0, 10),
 ) -> DataFrame:
@@ -157,7 +158,7 @@ def hybrid(
 
     Both lists are bounded by the window, so the join and the windows over them are small.
     """
-    texts = search(index, query, params=params, scorer=scorer, limit=(0, window), returns=[]).select("key", F.col("score").alias("text_score"))
+    texts = search(index, query, params=params, scorer=scorer, verbatim=verbatim, limit=(0, window), returns=[]).select("key", F.col("score").alias("text_score"))
     clause = f"@{field}:[VECTOR_RANGE {radius} $__v]" if radius is not None else f"*=>[KNN {k} @{field} $__v]"
     near = search(index, clause, params={"__v": list(vector)}, limit=(0, window), returns=[]).select("key", F.col("score").alias("vector_score"))
     by_text, by_vector = Window.orderBy(F.desc("text_score"), "key"), Window.orderBy("vector_score", "key")

@@ -6,6 +6,7 @@ Every query reads its whole tables. Limits stand only where a top-k or a page is
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -277,6 +278,65 @@ def search_slop(spark, d):
     return search(documents_index(spark, d), '"the idiot"=>{$slop:3;$inorder:false}', limit=None, returns=[], verbatim=True).select("key")
 
 
+@_register(f"SELECT documents.doc_id AS key, n_chars::DOUBLE AS score FROM documents WHERE len(list_filter({_TOKENS}, lambda t: regexp_full_match(t, 'clown(s|ed|ing)?'))) > 0")
+def search_stem(spark, d):
+    """Words of the query's stem, whatever form the query has."""
+    return search(documents_index(spark, d, score_field="n_chars"), "clowns", limit=None, returns=[], scorer="DOCSCORE").select("key", "score")
+
+
+def _ranked_variants(tokens: str, extra: str, asked: list[str]) -> str:
+    """BM25 over tokens and, once each, the variants that are none of them."""
+    n = range(len(asked))
+    idf = " + ".join(
+        f"CASE WHEN t{i} > 0 THEN ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * len / l)) ELSE 0 END" for i in n
+    )
+    counts = ", ".join(f"len(list_filter(v, lambda t: t = '{w}')) AS t{i}" for i, w in enumerate(asked))
+    return f"""
+WITH t AS (SELECT doc_id, {tokens} AS tokens FROM documents), e AS (SELECT doc_id, tokens, {extra} AS extra FROM t),
+v AS (SELECT doc_id, list_concat(tokens, list_filter(list_distinct(extra), lambda x: NOT list_contains(tokens, x))) AS v FROM e),
+c AS (SELECT doc_id, len(v) AS len, {counts} FROM v),
+s AS (SELECT count(*) AS n, avg(len) AS l, {', '.join(f'count(*) FILTER (t{i} > 0) AS d{i}' for i in n)} FROM c),
+r AS (SELECT doc_id, {idf} AS score FROM c, s WHERE {' OR '.join(f't{i} > 0' for i in n)})
+SELECT doc_id AS key, round(score, 6) AS score FROM r ORDER BY r.score DESC, doc_id LIMIT 20"""
+
+
+_SYNONYMS = ("clown", "jester", "idiot")
+
+
+@_register(_ranked_variants(_TOKENS, f"CASE WHEN list_has_any(tokens, {list(_SYNONYMS)}) THEN {list(_SYNONYMS)} ELSE [] END", ["jester"]))
+def search_synonym(spark, d):
+    ix = documents_index(spark, d, synonyms=(_SYNONYMS,))
+    ix = replace(ix, fields=(replace(ix.fields[0], stem=False), *ix.fields[1:]))
+    return search(ix, "jester", limit=(0, 20), returns=[]).select("key", F.round("score", 6).alias("score"))
+
+
+def _soundex_sql(t: str) -> str:
+    digits = f"translate(upper({t}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202')"
+    for k in "0123456789":
+        digits = f"regexp_replace({digits}, '{k}{k}+', '{k}', 'g')"
+    return f"CASE WHEN regexp_matches({t}, '^[a-z]') THEN 'phon' || lower(rpad(upper({t})[1] || regexp_replace(substr({digits}, 2, 64), '[^1-6]', '', 'g'), 4, '0')[1:4]) END"
+
+
+@_register(_ranked_variants(_TOKENS, f"list_filter(list_transform(list_distinct(tokens), lambda x: {_soundex_sql('x')}), lambda x: x IS NOT NULL)", ["klown", "phonk450"]))
+def search_phonetic(spark, d):
+    ix = documents_index(spark, d)
+    ix = replace(ix, fields=(replace(ix.fields[0], stem=False, phonetic=True), *ix.fields[1:]))
+    return search(ix, "klown", limit=(0, 20), returns=[]).select("key", F.round("score", 6).alias("score"))
+
+
+@_register(f"""{_BM25}, x1 AS (SELECT x.doc_id, greatest(
+  ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * len / l)), ln(1 + (n - d2 + 0.5) / (d2 + 0.5)) * t2 * 2.2 / (t2 + 1.2 * (0.25 + 0.75 * len / l))) AS score FROM x WHERE t1 + t2 > 0)
+SELECT doc_id AS key, round(score, 6) AS score FROM x1 ORDER BY x1.score DESC, doc_id LIMIT 20""")
+def search_dismax(spark, d):
+    return search(documents_index(spark, d), "worthless|pathetic", limit=(0, 20), returns=[], verbatim=True, scorer="DISMAX").select("key", F.round("score", 6).alias("score"))
+
+
+@_register(f"""{_BM25.replace("ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * t1", "3 * ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * t1")}
+SELECT doc_id AS key, round(score, 6) AS score FROM r ORDER BY r.score DESC, doc_id LIMIT 20""")
+def search_weights(spark, d):
+    return search(documents_index(spark, d), "(worthless)=>{$weight:3}|pathetic", limit=(0, 20), returns=[], verbatim=True).select("key", F.round("score", 6).alias("score"))
+
+
 @_register(f"""SELECT member AS key FROM ({_PLACES}) WHERE {_hav('20.0', '10.0', 'lon', 'lat', '6371000.0')} <= 2000000.0""")
 def search_geo(spark, d):
     ix = Index(customer_places(spark, d), "member", (Field("at", "GEO", ("lon", "lat")),))
@@ -353,7 +413,7 @@ FROM a FULL JOIN k ON a.doc_id = k.vec_id ORDER BY coalesce(1 / (60 + a.n), 0) +
 def hybrid_rrf(spark, d):
     both = K.table(spark, d, "documents").join(K.table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "full_outer")
     ix = Index(both, "doc_id", (Field("text", "TEXT"), Field("embedding", "VECTOR")))
-    return hybrid(ix, "worthless|pathetic", "embedding", vector_zero(spark, d), k=20, window=20, limit=(0, 20)).select("key", F.round("score", 9).alias("score"))
+    return hybrid(ix, "worthless|pathetic", "embedding", vector_zero(spark, d), k=20, window=20, limit=(0, 20), verbatim=True).select("key", F.round("score", 9).alias("score"))
 
 
 # --- sets ---------------------------------------------------------------------------------------
