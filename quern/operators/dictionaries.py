@@ -50,18 +50,25 @@ def vocabulary(index: Index, *names: str) -> DataFrame:
     return out.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def spellcheck(index: Index, query: str, distance: int = 1, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
+def spellcheck(index: Index, query: str, distance: int = 1, include: DataFrame | Sequence[str] | None = None, exclude: DataFrame | Sequence[str] | None = None) -> DataFrame:
     """For words of the query that no document has: term, suggestion, score (share of documents).
 
-    A band of lengths cuts the vocabulary before distances are taken; the query's words are literals,
-    so there is no join.
+    include, exclude: terms of dictionaries (column term) that are suggested as well, or never. A band of
+    lengths cuts the vocabulary before distances are taken; the query's words are literals, so there
+    is no join with them, and of the dictionaries only those among the query's words reach the driver.
     """
-    words = list(dict.fromkeys(w for w in query.lower().split() if w not in set(exclude)))
+    spark = index.source.sparkSession
+    include, exclude = (spark.createDataFrame([(t,) for t in d], "term string") if d is not None and not isinstance(d, DataFrame) else d for d in (include, exclude))
+    words = list(dict.fromkeys(query.lower().split()))
+    listed = lambda d: {r["term"] for r in d.where(F.col("term").isin(words)).select("term").distinct().collect()} if d is not None else set()
+    words = [w for w in words if w not in listed(exclude)]
     terms = vocabulary(index)
+    if exclude is not None:
+        terms = terms.join(exclude.select("term"), "term", "left_anti")
     known = {r["term"] for r in terms.where(F.col("term").isin(words)).select("term").collect()}  # at most the query's words
-    unknown = [w for w in words if w not in known and w not in set(include)]
+    unknown = [w for w in words if w not in known and w not in listed(include)]
     total = index.documents().count()
-    pool = terms if not include else terms.unionByName(terms.sparkSession.createDataFrame([(t, 0) for t in include], "term string, documents long"))
+    pool = terms if include is None else terms.unionByName(include.select("term", F.lit(0).cast("long").alias("documents"))).groupBy("term").agg(F.max("documents").alias("documents"))
     asked = F.explode(F.filter(F.array(*[F.struct(F.lit(w).alias("word"), F.when(F.abs(F.length("term") - len(w)) <= distance, F.levenshtein("term", F.lit(w), distance)).otherwise(-1).alias("d")) for w in unknown]), lambda x: x["d"] >= 0))
     if not unknown:
         return pool.select(F.col("term"), F.col("term").alias("suggestion"), F.lit(0.0).alias("score")).limit(0)

@@ -74,11 +74,18 @@ def random_members(sets: DataFrame, key: str, count: int, seed: int = 0) -> Data
     mixed = F.xxhash64(F.lit(seed), F.col("member").cast("string"))
     if count >= 0:
         return own.orderBy(mixed, "member").limit(count)
-    # as many members as there are draws suffice as a pool, and both are bounded by the count
-    pool = own.orderBy(mixed, "member").limit(-count)
-    pool = pool.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy())).withColumn("place", F.row_number().over(Window.orderBy(mixed, "member")) - 1)
-    draws = sets.sparkSession.range(-count).select(F.xxhash64(F.lit(seed), F.col("id")).alias("draw"))
-    return draws.join(F.broadcast(pool), F.pmod("draw", "n") == F.col("place")).select("member")
+    # every member has a number: that of its part of the hash range (4096 of them), and its place in the part
+    placed = own.withColumn("part", F.shiftright(mixed, 52)).withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(mixed, "member")) - 1)
+    sizes = sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect())
+    starts, total = [], 0
+    for part, n in sizes:
+        starts.append((part, total, total + n))
+        total += n
+    spark = sets.sparkSession
+    draws = spark.range(-count).select(F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), F.col("id")), F.lit(max(total, 1))).alias("at"))
+    parts = F.broadcast(spark.createDataFrame(starts, "part long, first long, stop long"))
+    drawn = draws.join(parts, (F.col("at") >= F.col("first")) & (F.col("at") < F.col("stop"))).select("part", (F.col("at") - F.col("first")).alias("place"))
+    return drawn.join(placed, ["part", "place"]).select("member")
 
 
 def scan(sets: DataFrame, key: str, after: object = None, match: str | None = None, count: int = 10) -> DataFrame:

@@ -259,9 +259,10 @@ def fold(log: DataFrame) -> DataFrame:
                 return state["value"]
             case "SETRANGE":
                 offset, piece = arg.split(":", 1)
-                raw, new = (old or "").encode().ljust(int(offset), b"\0"), piece.encode()
-                state["value"] = (raw[: int(offset)] + new + raw[int(offset) + len(new) :]).decode()
-                return str(len(state["value"].encode()))
+                raw, new = (old or "").encode("utf-8", "surrogateescape").ljust(int(offset), b"\0"), piece.encode()
+                raw = raw[: int(offset)] + new + raw[int(offset) + len(new) :]
+                state["value"] = raw.decode("utf-8", "replace")  # text: what a write cuts of a character becomes the replacement character
+                return str(len(raw))
             case "EXPIREAT":
                 if old is not None:
                     state["at"] = at

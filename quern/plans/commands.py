@@ -5,6 +5,7 @@ from __future__ import annotations
 import shlex
 from collections.abc import Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,10 @@ class Args:
         return False
 
 
+#: Languages that texts are analysed in; words of the others would be split alike, but not stemmed.
+LANGUAGES = ("english", "chinese")
+
+
 class SearchCatalog:
     """Sources by name, indexes over them, aliases, and what dictionaries hold."""
 
@@ -280,8 +285,21 @@ class SearchCatalog:
                 case "PARAMS":
                     pairs = args.some()
                     given["params"] |= dict(zip(map(str, pairs[::2]), pairs[1::2], strict=True))
-                case "LANGUAGE" | "EXPANDER" | "PAYLOAD" | "TIMEOUT" | "DIALECT":
-                    args.next()
+                case "LANGUAGE":
+                    given["language"] = str(args.next()).lower()
+                    if given["language"] not in LANGUAGES:
+                        raise CommandError(f"unsupported language {given['language']}")
+                case "EXPANDER":
+                    if args.upper() != "DEFAULT":
+                        raise CommandError("there is no expander but DEFAULT")
+                case "PAYLOAD":
+                    args.next()  # no scorer reads it
+                case "TIMEOUT":
+                    if args.number() < 0:
+                        raise CommandError("a timeout is not negative")
+                case "DIALECT":
+                    if not 1 <= args.number() <= 4:
+                        raise CommandError("dialects are 1 to 4")
                 case _:
                     raise CommandError(f"unknown option {word}")
         return given
@@ -289,6 +307,7 @@ class SearchCatalog:
     def _ft_search(self, args: Args) -> DataFrame:
         ix, query = self.index(str(args.next())), str(args.next())
         given = self._options(args)
+        ix = replace(ix, language=given.pop("language", ix.language))
         if given.get("limit") == (0, 0):
             kept = ("params", "verbatim", "nostopwords", "infields", "slop", "inorder")
             return count(ix, query, **{k: v for k, v in given.items() if k in kept})
@@ -462,12 +481,14 @@ class SearchCatalog:
                     distance = args.number()
                 case "TERMS":
                     way = args.upper()
-                    lists[way] += [r["term"] for r in dictionaries.dump(self.terms, str(args.next())).collect()]
+                    if way not in lists:
+                        raise CommandError(f"unknown list {way}")
+                    lists[way].append(dictionaries.dump(self.terms, str(args.next())))
                 case "DIALECT":
                     args.next()
                 case _:
                     raise CommandError(f"unknown option {word}")
-        return dictionaries.spellcheck(ix, query, distance, lists["INCLUDE"], lists["EXCLUDE"])
+        return dictionaries.spellcheck(ix, query, distance, *(reduce(DataFrame.unionByName, lists[way]) if lists[way] else None for way in ("INCLUDE", "EXCLUDE")))
 
     def _ft_sugadd(self, args: Args) -> DataFrame:
         key, text, score = str(args.next()), str(args.next()), float(args.next())
