@@ -1,4 +1,4 @@
-"""Query language, search, pipeline and fusion on small products."""
+"""Query language, search, pipeline and fusion on small tools."""
 
 import pytest
 
@@ -10,12 +10,12 @@ from quern.plans.search import count, hybrid, search
 
 
 @pytest.fixture(scope="module")
-def products(spark):
+def tools(spark):
     rows = [
-        ("p:1", "winter jacket", "jacket, warm", 20.0, [1.0, 0.0], "POINT(0 0)", "2.5,1.5", None),
-        ("p:2", "rain jacket", "jacket", 20.0, [0.0, 1.0], "POINT(10 10)", "10,10", ""),
-        ("p:3", "work pants", "pants", 25.0, [0.9, 0.1], None, None, "x"),
-        ("p:4", None, None, None, None, None, None, None),
+        ("t:1", "garden spade", "digging, steel", 32.0, [1.0, 0.0], "POINT(0 0)", "2.5,1.5", None),
+        ("t:2", "border spade", "digging", 18.5, [0.0, 1.0], "POINT(10 10)", "10,10", ""),
+        ("t:3", "hedge shears", "cutting", 41.0, [0.9, 0.1], None, None, "x"),
+        ("t:4", None, None, None, None, None, None, None),
     ]
     df = spark.createDataFrame(rows, "key string, title string, category string, price double, v array<double>, shape string, at string, note string")
     fields = (
@@ -32,98 +32,98 @@ def keys(df):
 @pytest.mark.parametrize(
     ("query", "expected"),
     [
-        ("*", {"p:1", "p:2", "p:3", "p:4"}),
-        ("jacket", {"p:1", "p:2"}),
-        ("jackets", {"p:1", "p:2"}),
-        ("@title:(rain|work) -pants", {"p:2"}),
-        ("@category:{warm|pants}", {"p:1", "p:3"}),
-        ("@price:[(20 +inf]", {"p:3"}),
-        ("@price:[20 20] winter", {"p:1"}),
-        ('"rain jacket"', {"p:2"}),
-        ('"jacket rain"', set()),
-        ('"jacket rain"=>{$slop:0;$inorder:false}', {"p:2"}),
-        ("jac*", {"p:1", "p:2"}),
-        ("w*r", {"p:1"}),
-        ("w?rk", {"p:3"}),
-        ("%jackte%", {"p:1", "p:2"}),
-        ("~winter @category:{jacket}", {"p:1", "p:2"}),
-        ("ismissing(@note)", {"p:1", "p:4"}),
-        ('@note:""', {"p:2"}),
-        ("@at:[2 1 200 km]", {"p:1"}),
-        ("@shape:[WITHIN POLYGON((-1 -1, 1 -1, 1 1, -1 1, -1 -1))]", {"p:1"}),
-        ("@v:[VECTOR_RANGE 0.5 $q]", {"p:1", "p:3"}),
-        ("-jacket", {"p:3", "p:4"}),
-        ("", {"p:1", "p:2", "p:3", "p:4"}),
+        ("*", {"t:1", "t:2", "t:3", "t:4"}),
+        ("spade", {"t:1", "t:2"}),
+        ("spades", {"t:1", "t:2"}),
+        ("@title:(border|hedge) -shears", {"t:2"}),
+        ("@category:{steel|cutting}", {"t:1", "t:3"}),
+        ("@price:[(32 +inf]", {"t:3"}),
+        ("@price:[32 32] garden", {"t:1"}),
+        ('"border spade"', {"t:2"}),
+        ('"spade border"', set()),
+        ('"spade border"=>{$slop:0;$inorder:false}', {"t:2"}),
+        ("spa*", {"t:1", "t:2"}),
+        ("g*n", {"t:1"}),
+        ("h?dge", {"t:3"}),
+        ("%spdae%", {"t:1", "t:2"}),
+        ("~garden @category:{digging}", {"t:1", "t:2"}),
+        ("ismissing(@note)", {"t:1", "t:4"}),
+        ('@note:""', {"t:2"}),
+        ("@at:[2 1 200 km]", {"t:1"}),
+        ("@shape:[WITHIN POLYGON((-1 -1, 1 -1, 1 1, -1 1, -1 -1))]", {"t:1"}),
+        ("@v:[VECTOR_RANGE 0.5 $q]", {"t:1", "t:3"}),
+        ("-spade", {"t:3", "t:4"}),
+        ("", {"t:1", "t:2", "t:3", "t:4"}),
     ],
 )
-def test_predicates(products, query, expected):
-    found = search(products, query, params={"q": [1.0, 0.0]}, limit=None, returns=[])
+def test_predicates(tools, query, expected):
+    found = search(tools, query, params={"q": [1.0, 0.0]}, limit=None, returns=[])
     assert set(keys(found)) == expected
 
 
-def test_phonetic(products):
-    assert set(keys(search(products, "jakket", limit=None, returns=[]))) == {"p:1", "p:2"}
-    assert keys(search(products, "jakket", limit=None, returns=[], verbatim=True)) == []
+def test_phonetic(tools):
+    assert set(keys(search(tools, "spayd", limit=None, returns=[]))) == {"t:1", "t:2"}
+    assert keys(search(tools, "spayd", limit=None, returns=[], verbatim=True)) == []
 
 
 @pytest.mark.parametrize("bad", ["(a", "a)", "@price:[1]", "=>", "a|@v:[VECTOR_RANGE 1 $q]", "-(@v:[VECTOR_RANGE 1 $q])", "*=>[KNN 2 @v $q] @v:[VECTOR_RANGE 1 $q]", "$gone", "a*"])
-def test_refused(products, bad):
+def test_refused(tools, bad):
     with pytest.raises(ValueError):
-        search(products, bad, params={"q": [1.0, 0.0]})
+        search(tools, bad, params={"q": [1.0, 0.0]})
 
 
-def test_knn_is_nearest_first(products):
-    rows = search(products, "(@category:{jacket})=>[KNN 5 @v $q AS d]", params={"q": [1.0, 0.0]}, returns=[]).collect()
-    assert [(r["key"], r["d"]) for r in rows] == [("p:1", 0.0), ("p:2", 2.0)]
+def test_knn_is_nearest_first(tools):
+    rows = search(tools, "(@category:{digging})=>[KNN 5 @v $q AS d]", params={"q": [1.0, 0.0]}, returns=[]).collect()
+    assert [(r["key"], r["d"]) for r in rows] == [("t:1", 0.0), ("t:2", 2.0)]
 
 
-def test_sort_limit_and_missing_last(products):
+def test_sort_limit_and_missing_last(tools):
     for way in ("ASC", "DESC"):
-        assert keys(search(products, "*", sortby=("price", way), limit=(3, 1), returns=[])) == ["p:4"]
-    assert count(products, "jacket").first()["total"] == 2
-    assert keys(search(products, "*", inkeys=["p:2", "p:9"], returns=[])) == ["p:2"]
-    assert keys(search(products, "*", filters=[("price", "(20", "30")], returns=[])) == ["p:3"]
+        assert keys(search(tools, "*", sortby=("price", way), limit=(3, 1), returns=[])) == ["t:4"]
+    assert count(tools, "spade").first()["total"] == 2
+    assert keys(search(tools, "*", inkeys=["t:2", "t:9"], returns=[])) == ["t:2"]
+    assert keys(search(tools, "*", filters=[("price", "(32", "50")], returns=[])) == ["t:3"]
 
 
-def test_synonyms_and_stopwords(products):
-    ix = Index(products.source, "key", products.fields, synonyms=(("coat", "jacket"),), stopwords=frozenset({"the"}))
-    assert set(keys(search(ix, "the coat", returns=[]))) == {"p:1", "p:2"}
+def test_synonyms_and_stopwords(tools):
+    ix = Index(tools.source, "key", tools.fields, synonyms=(("shovel", "spade"),), stopwords=frozenset({"the"}))
+    assert set(keys(search(ix, "the shovel", returns=[]))) == {"t:1", "t:2"}
 
 
-def test_scores_rank(products):
-    rows = search(products, "rain|jacket", returns=[]).collect()
-    assert rows[0]["key"] == "p:2" and rows[0]["score"] > rows[1]["score"]
+def test_scores_rank(tools):
+    rows = search(tools, "border|spade", returns=[]).collect()
+    assert rows[0]["key"] == "t:2" and rows[0]["score"] > rows[1]["score"]
     for scorer in ("BM25", "DISMAX", "DOCSCORE"):
-        assert search(products, "rain|jacket", scorer=scorer, returns=[]).count() == 2
+        assert search(tools, "border|spade", scorer=scorer, returns=[]).count() == 2
 
 
-def test_hybrid(products):
+def test_hybrid(tools):
     for way in ("RRF", "LINEAR"):
-        rows = hybrid(products, "jacket", "v", [1.0, 0.0], k=2, combine=way).collect()
-        assert rows[0]["key"] == "p:1" and {r["key"] for r in rows} == {"p:1", "p:2", "p:3"}
-    rows = hybrid(products, "jacket", "v", [1.0, 0.0], k=2, post_filter="@category:{pants}").collect()
-    assert [r["key"] for r in rows] == ["p:3"]
-
-
-def test_pipeline(products):
-    rows = aggregate(products, "@category:{jacket|pants}").group(["@category"], Reduce("COUNT"), Reduce("SUM", "@price"), Reduce("AVG", "@price")).sortby("@category").frame().collect()
-    assert [tuple(r) for r in rows] == [("jacket", 1, 20.0, 20.0), ("jacket, warm", 1, 20.0, 20.0), ("pants", 1, 25.0, 25.0)]
-    twice = aggregate(products, "*").load("@title").apply("@price * 2", "double").filter("@double >= 50").frame().collect()
-    assert [tuple(r) for r in twice] == [("work pants", 50.0)]
-    page = aggregate(products, "*").load("@title").sortby(("@price", "DESC")).limit(0, 1)
-    assert page.frame().collect()[0]["title"] == "work pants" and page.total().first()["total"] == 4
-    empty = aggregate(products, "nothing").group([], Reduce("COUNT")).frame()
+        rows = hybrid(tools, "spade", "v", [1.0, 0.0], k=2, combine=way).collect()
+        assert rows[0]["key"] == "t:1" and {r["key"] for r in rows} == {"t:1", "t:2", "t:3"}
+    rows = hybrid(tools, "spade", "v", [1.0, 0.0], k=2, post_filter="@category:{cutting}").collect()
+    assert [r["key"] for r in rows] == ["t:3"]
+
+
+def test_pipeline(tools):
+    rows = aggregate(tools, "@category:{digging|cutting}").group(["@category"], Reduce("COUNT"), Reduce("SUM", "@price"), Reduce("AVG", "@price")).sortby("@category").frame().collect()
+    assert [tuple(r) for r in rows] == [("cutting", 1, 41.0, 41.0), ("digging", 1, 18.5, 18.5), ("digging, steel", 1, 32.0, 32.0)]
+    twice = aggregate(tools, "*").load("@title").apply("@price * 2", "double").filter("@double >= 70").frame().collect()
+    assert [tuple(r) for r in twice] == [("hedge shears", 82.0)]
+    page = aggregate(tools, "*").load("@title").sortby(("@price", "DESC")).limit(0, 1)
+    assert page.frame().collect()[0]["title"] == "hedge shears" and page.total().first()["total"] == 4
+    empty = aggregate(tools, "nothing").group([], Reduce("COUNT")).frame()
     assert empty.count() == 0
 
 
-def test_reducers_of_missing_values(products):
-    row = aggregate(products, "@note:x").group([], Reduce("SUM", "@title"), Reduce("MIN", "@gone"), Reduce("TOLIST", "@gone"), Reduce("COUNT_DISTINCT", "@gone")).frame().first()
+def test_reducers_of_missing_values(tools):
+    row = aggregate(tools, "@note:x").group([], Reduce("SUM", "@title"), Reduce("MIN", "@gone"), Reduce("TOLIST", "@gone"), Reduce("COUNT_DISTINCT", "@gone")).frame().first()
     assert row.asDict() == {"sum": 0.0, "min": 0.0, "tolist": ["@gone"], "count_distinct": 1}
 
 
-def test_cursor(products):
-    first = cursor_page(products.source, ["key"], None, 2).collect()
-    assert [r["key"] for r in cursor_page(products.source, ["key"], (first[-1]["key"],), 2).collect()] == ["p:3", "p:4"]
+def test_cursor(tools):
+    first = cursor_page(tools.source, ["key"], None, 2).collect()
+    assert [r["key"] for r in cursor_page(tools.source, ["key"], (first[-1]["key"],), 2).collect()] == ["t:3", "t:4"]
 
 
 @pytest.mark.parametrize(
