@@ -224,9 +224,9 @@ def search_wildcard_count(spark, d):
 
 
 @_register("""SELECT p_partkey AS key FROM part WHERE len(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9_]+'),
-  lambda t: levenshtein(t, 'gren') <= 1 OR t IN ('rgen', 'gern', 'grne'))) > 0""")
+  lambda t: levenshtein(t, 'smlal') <= 1 OR t IN ('mslal', 'slmal', 'small', 'smlla'))) > 0""")
 def search_fuzzy(spark, d):
-    return search(part_index(spark, d), "@p_name:%gren%", limit=None, returns=[]).select("key")
+    return search(part_index(spark, d), "@p_name:%smlal%", limit=None, returns=[]).select("key")
 
 
 @_register("SELECT p_partkey AS key, p_name FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10 OFFSET 10")
@@ -234,9 +234,11 @@ def search_sorted_page(spark, d):
     return search(part_index(spark, d), "*", sortby=("p_retailprice", "DESC"), limit=(10, 10), returns=["p_name"]).select("key", "p_name")
 
 
-@_register("SELECT count(*) AS total FROM part WHERE p_brand IS NULL")
+@_register("SELECT count(*) AS total FROM part WHERE p_size > 40")
 def search_missing(spark, d):
-    return count(part_index(spark, d), "ismissing(@p_mfgr)")
+    """Brands of large parts are taken away, so that there are missing ones."""
+    ix = part_index(spark, d)
+    return count(replace(ix, source=ix.source.withColumn("p_brand", F.when(F.col("p_size") <= 40, F.col("p_brand")))), "ismissing(@p_mfgr)")
 
 
 _BM25 = f"""
@@ -489,9 +491,11 @@ def zset_intersection(spark, d):
     return zsets.intersection(nation_zsets(spark, d), ["customer", "supplier"], fold="MIN")
 
 
-@_register("SELECT CAST(c_nationkey AS VARCHAR) AS member, max(c_acctbal) AS score FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier) GROUP BY 1")
+@_register("SELECT CAST(o_custkey AS VARCHAR) AS member, max(o_totalprice) AS score FROM orders WHERE o_orderstatus = 'O' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1")
 def zset_difference(spark, d):
-    return zsets.difference(nation_zsets(spark, d), ["customer", "supplier"])
+    """Customers by their dearest order of a status."""
+    dear = K.table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("key"), F.col("o_custkey").cast("string").alias("member")).agg(F.max("o_totalprice").alias("score"))
+    return zsets.difference(dear, ["O", "P"])
 
 
 @_register("SELECT CAST(s_nationkey AS VARCHAR) AS member, max(s_acctbal) AS score, 'supplier' AS key FROM supplier GROUP BY 1 ORDER BY score DESC, member DESC LIMIT 3")
@@ -709,10 +713,10 @@ def spellcheck(spark, d):
     return dictionaries.spellcheck(ix, "gren bleu smokee", 2).withColumn("score", F.round("score", 9))
 
 
-@_register("""SELECT p_name AS string, max(p_retailprice) AS score FROM part WHERE lower(p_name) LIKE 'g%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""")
+@_register("""SELECT p_name AS string, max(p_retailprice) AS score FROM part WHERE lower(p_name) LIKE 's%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""")
 def suggestions(spark, d):
     rows = K.table(spark, d, "part").groupBy(F.col("p_name").alias("string")).agg(F.max("p_retailprice").alias("score")).select(F.lit("s").alias("key"), "string", "score", F.lit(None).cast("string").alias("payload"))
-    return dictionaries.suggest(rows, "s", "g").select("string", "score")
+    return dictionaries.suggest(rows, "s", "s").select("string", "score")
 
 
 @_register("SELECT c_name AS key, CAST(c_acctbal AS VARCHAR) AS value FROM customer WHERE c_acctbal < 0 AND c_name LIKE 'Customer#0000%'")
