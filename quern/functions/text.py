@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from quern.functions.porter import stem
 
-WORD = r"[\p{L}\p{N}_]+"
+WORD = r"[a-z0-9_\p{L}\p{N}]++"
 _MARKS = "['.,’]"
 _HAN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 
@@ -20,8 +20,8 @@ def tokens(text: Column, ngrams: bool = False) -> Column:
     """Lower-case words; marks inside words vanish (can't: cant, 3.14: 314). With ngrams, runs
     of ideographs become their single characters and pairs. Null text has no tokens."""
     # words with their inner marks, one pass over the text; then the marks go from all words at once
-    marked = F.regexp_extract_all(F.lower(text), F.lit(f"({WORD}(?:{_MARKS}{WORD})*)"), F.lit(1))
-    found = F.when(F.size(marked) > 0, F.split(F.translate(F.array_join(marked, " "), "'.,’", ""), " ")).otherwise(marked)
+    marked = F.regexp_extract_all(F.lower(text), F.lit(f"({WORD}(?:{_MARKS}{WORD})*+)"), F.lit(1))
+    found = F.filter(F.split(F.translate(F.array_join(marked, " "), "'.,’", ""), " "), lambda t: t != "")
     if ngrams:
         def cut(t: Column) -> Column:
             ones = F.split(t, "")

@@ -313,17 +313,18 @@ def search_synonym(spark, d):
 
 
 def _soundex_sql(t: str) -> str:
+    t = f"replace({t}, 'ß', 'ss')"  # as upper case has it
     digits = f"translate(upper({t}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202')"
     for k in "0123456789":
         digits = f"regexp_replace({digits}, '{k}{k}+', '{k}', 'g')"
     return f"CASE WHEN regexp_matches({t}, '^[a-z]') THEN 'phon' || lower(rpad(upper({t})[1] || regexp_replace(substr({digits}, 2, 64), '[^1-6]', '', 'g'), 4, '0')[1:4]) END"
 
 
-@_register(_ranked_variants(_TOKENS, f"list_filter(list_transform(list_distinct(tokens), lambda x: {_soundex_sql('x')}), lambda x: x IS NOT NULL)", ["klown", "phonk450"]))
+@_register(_ranked_variants(_TOKENS, f"list_filter(list_transform(list_distinct(tokens), lambda x: {_soundex_sql('x')}), lambda x: x IS NOT NULL)", ["cloun", "phonc450"]))
 def search_phonetic(spark, d):
     ix = documents_index(spark, d)
     ix = replace(ix, fields=(replace(ix.fields[0], stem=False, phonetic=True), *ix.fields[1:]))
-    return search(ix, "klown", limit=(0, 20), returns=[]).select("key", F.round("score", 6).alias("score"))
+    return search(ix, "cloun", limit=(0, 20), returns=[]).select("key", F.round("score", 6).alias("score"))
 
 
 @_register(f"""{_BM25}, x1 AS (SELECT x.doc_id, greatest(

@@ -17,10 +17,17 @@ def test_runs(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
 
 
-def test_no_query_is_vacuous(duck):
-    """Every SQL yields rows, and more than a lone zero."""
+def test_no_query_is_vacuous():
+    """Every SQL yields rows on the tables of the comparison, and more than a lone zero."""
+    import os
+
+    import duckdb
+
+    folder, con = "/root/testdata/sf0.01", duckdb.connect()
+    for t in os.listdir(folder):
+        con.sql(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{folder}/{t}'")
     for name, sql in ORACLES.items():
-        rows = duck.sql(sql).fetchall()
+        rows = con.sql(sql).fetchall()
         assert rows and rows != [(0,)], name
 
 
