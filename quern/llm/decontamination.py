@@ -269,6 +269,10 @@ class Items:
             has.append(np.unique(f[rare[f]]).astype(np.int64) + i * FEATURES)
             self.need[i] = int(np.ceil(LIKELY * len(f) - 1e-9)) - int((~rare[f]).sum())
         self.has = np.concatenate([*has, np.array([1 << 62])])
+        # most pairs are not among them: a table of a few bytes a pair says so without a search
+        self.shift = np.uint64(64 - max(16, (16 * len(self.has) - 1).bit_length()))
+        self.table = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.table[self._slots(self.has)] = True
         self.keys = {length: [_Keys(own[k : k + GROUP], self.words, length, tf) for k in range(0, len(own), GROUP)] for length, own in self.of.items()}
         self.vectors = {}
         for length, own in self.of.items():
@@ -277,6 +281,9 @@ class Items:
             self.vectors[length] = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+    def _slots(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
     def shared(self, f: np.ndarray, left: np.ndarray, right: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Words of f[left:right] that are rare words of the item, for each candidate."""
         out = np.zeros(len(item), np.int64)
@@ -284,9 +291,10 @@ class Items:
         for lo in range(0, len(item), 4096):
             at = left[lo : lo + 4096, None] + inside
             wanted = (item[lo : lo + 4096] * FEATURES)[:, None] + f[np.minimum(at, len(f) - 1)]
-            hit = self.has[np.searchsorted(self.has, wanted)] == wanted
-            hit &= at < right[lo : lo + 4096, None]
-            out[lo : lo + 4096] = hit.sum(1)
+            row, col = np.nonzero(self.table[self._slots(wanted)] & (at < right[lo : lo + 4096, None]))
+            some = wanted[row, col]
+            row = row[self.has[np.searchsorted(self.has, some)] == some]
+            out[lo : lo + 4096] = np.bincount(row, minlength=len(wanted))
         return out
 
 
