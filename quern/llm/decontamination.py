@@ -208,13 +208,13 @@ class _Keys:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.key >> np.uint64(44)).astype(np.int64)] = True
 
-    def pairs(self, h: np.ndarray, base: np.ndarray, n: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self, h: np.ndarray, some: np.ndarray, base: np.ndarray, n: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Windows (numbers) and items of which the window's stretch holds enough key words.
 
-        Document d has the words base[d]:base[d] + n[d] of h and the windows first[d]:first[d] + count[d].
+        Document d has the words base[d]:base[d] + n[d] of h and the windows first[d]:first[d] + count[d]; some: the words that may be keys.
         """
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+        at = some[self.maybe[(h[some] >> np.uint64(44)).astype(np.int64)]]
         k = np.minimum(np.searchsorted(self.key, h[at]), len(self.key) - 1)
         same = self.key[k] == h[at]
         at, k = at[same], k[same]
@@ -274,6 +274,10 @@ class Items:
         self.table = np.zeros(1 << (64 - int(self.shift)), bool)
         self.table[self._slots(self.has)] = True
         self.keys = {length: [_Keys(own[k : k + GROUP], self.words, length, tf) for k in range(0, len(own), GROUP)] for length, own in self.of.items()}
+        self.maybe = np.zeros(1 << 20, bool)  # key words of any length class
+        for groups in self.keys.values():
+            for k in groups:
+                self.maybe |= k.maybe
         self.vectors = {}
         for length, own in self.of.items():
             x = np.array([space[_columns(np.array(self.words[i], np.uint64))].sum(0) for i in own], np.float32).reshape(-1, RANK)
@@ -291,9 +295,9 @@ class Items:
         for lo in range(0, len(item), 4096):
             at = left[lo : lo + 4096, None] + inside
             wanted = (item[lo : lo + 4096] * FEATURES)[:, None] + f[np.minimum(at, len(f) - 1)]
-            row, col = np.nonzero(self.table[self._slots(wanted)] & (at < right[lo : lo + 4096, None]))
-            some = wanted[row, col]
-            row = row[self.has[np.searchsorted(self.has, some)] == some]
+            found = np.flatnonzero((self.table[self._slots(wanted)] & (at < right[lo : lo + 4096, None])).ravel())
+            some = wanted.ravel()[found]
+            row = found[self.has[np.searchsorted(self.has, some)] == some] // max(1, len(inside))
             out[lo : lo + 4096] = np.bincount(row, minlength=len(wanted))
         return out
 
@@ -323,6 +327,7 @@ def _search(items: Items, cosine: float, names: tuple[str, str]):
                     total = np.zeros((int(at[-1]) + 1, RANK), np.float32)
                     np.cumsum(items.space[f[a:b][rarer]], axis=0, dtype=np.float32, out=total[1:])
                     n, base = np.diff(w.ptr[lo : hi + 1]), w.ptr[lo:hi] - a
+                    some = np.flatnonzero(items.maybe[(h[a:b] >> np.uint64(44)).astype(np.int64)])
                     for length, own in items.of.items():
                         if not len(own):
                             continue
@@ -335,10 +340,10 @@ def _search(items: Items, cosine: float, names: tuple[str, str]):
                         end = np.minimum(begin + length, base[doc] + n[doc])
                         x = total[at[end]] - total[at[begin]]
                         x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
-                        near = [k.pairs(h[a:b], base, n, first, count) for k in items.keys[length]]
+                        near = [k.pairs(h[a:b], some, base, n, first, count) for k in items.keys[length]]
                         for s in range(0, len(x), 8192):  # the comparison table stays bounded
-                            row, col = np.nonzero(x[s : s + 8192] @ items.vectors[length].T >= cosine)
-                            near.append((row + s, own[col]))
+                            found = np.flatnonzero((x[s : s + 8192] @ items.vectors[length].T >= cosine).ravel())
+                            near.append((found // len(own) + s, own[found % len(own)]))
                         both = np.unique(np.concatenate([row * len(items.ids) + item for row, item in near]))
                         row, item = both // len(items.ids), both % len(items.ids)
                         margin = items.size[item]
