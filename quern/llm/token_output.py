@@ -74,11 +74,12 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _splits(tokenizer) -> bool:
+@lru_cache(maxsize=4)
+def _splits(path: str) -> bool:
     """Whether the tokenizer is byte-level BPE that splits texts as ``_pieces`` relies on, and does nothing else to them."""
     import json
 
-    made = json.loads(tokenizer.to_str())
+    made = json.loads(_tokenizer(path).to_str())
     pre, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
     plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
     added = all(t["content"].startswith("<|") and t["content"].endswith("|>") for t in made.get("added_tokens", []))
@@ -111,7 +112,7 @@ class Encoder:
         self.tokenizer = _tokenizer(path)
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
-        self.splits = _splits(self.tokenizer)
+        self.splits = _splits(path)
 
     def _encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces in a row, and how many each has."""
