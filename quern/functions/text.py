@@ -12,7 +12,9 @@ from pyspark.sql.types import ArrayType, StringType
 from quern.functions.porter import stem
 
 WORD = r"[a-z0-9_\p{L}\p{N}]++"
-_MARKS = "['.,’]"
+MARKS = "'.,’"
+_MARKS = f"[{MARKS}]"
+_MARKED = f"({WORD}(?:{_MARKS}{WORD})*+)"
 _HAN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 
 
@@ -20,8 +22,8 @@ def tokens(text: Column, ngrams: bool = False) -> Column:
     """Lower-case words; marks inside words vanish (can't: cant, 3.14: 314). With ngrams, runs
     of ideographs become their single characters and pairs. Null text has no tokens."""
     # words with their inner marks, one pass over the text; then the marks go from all words at once
-    marked = F.regexp_extract_all(F.lower(text), F.lit(f"({WORD}(?:{_MARKS}{WORD})*+)"), F.lit(1))
-    found = F.filter(F.split(F.translate(F.array_join(marked, " "), "'.,’", ""), " "), lambda t: t != "")
+    marked = F.regexp_extract_all(F.lower(text), F.lit(_MARKED), F.lit(1))
+    found = F.filter(F.split(F.translate(F.array_join(marked, " "), MARKS, ""), " "), lambda t: t != "")
     if ngrams:
         def cut(t: Column) -> Column:
             ones = F.split(t, "")
@@ -32,6 +34,11 @@ def tokens(text: Column, ngrams: bool = False) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
+def token_count(text: Column) -> Column:
+    """The number of ``tokens`` without ngrams; null for null text."""
+    return F.regexp_count(F.lower(text), F.lit(_MARKED))
+
+
 def tags(text: Column, separator: str = ",", case_sensitive: bool = False) -> Column:
     """Split, trimmed, without empty ones, lower-cased unless case_sensitive."""
     parts = F.transform(F.split(text if case_sensitive else F.lower(text), f"\\Q{separator}\\E"), lambda t: F.trim(t))

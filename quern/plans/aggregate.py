@@ -131,7 +131,7 @@ class Pipeline:
 
 def aggregate(index: Index, query: str, params: dict | None = None, **options) -> Pipeline:
     """A pipeline over the documents that match; __key is their id."""
-    _, hits, plan = _matched(index, query, params, **options)
+    hits, plan = _matched(index, query, params, **options)
     hits = hits.drop(*plan.tokens).withColumn("__key", F.col(f"`{index.key}`"))
     return Pipeline(hits, ["__key"])
 

@@ -101,15 +101,24 @@ class Index:
             found = F.filter(found, lambda t: ~t.isin(sorted(self.stopwords)))
         return found
 
+    def unmarked(self, f: Field) -> Column | None:
+        """The lower-case text without the marks that vanish from tokens; None for lists of texts."""
+        return None if self.kind_of(f).startswith("array") else F.translate(F.lower(self.column(f).cast("string")), T.MARKS, "")
+
+    def length(self, f: Field, raw: bool = False) -> Column | None:
+        """The number of ``tokens`` without making them; None where only they tell."""
+        if self.kind_of(f).startswith("array") or self.language == "chinese" or (self.stopwords and not raw):
+            return None
+        return F.coalesce(T.token_count(self.column(f)), F.lit(0))
+
     def has_variants(self, f: Field) -> bool:
         return self.stems(f) or f.phonetic or f.suffixes or bool(self.synonyms)
 
     def stems(self, f: Field) -> bool:
         return f.stem and self.language == "english"
 
-    def variants(self, f: Field, raw: bool = False) -> Column:
-        """Tokens of a text field, and once each what else they can be found by: synonyms, stems, phonetic codes, suffixes."""
-        own = self.tokens(f, raw)
+    def variants(self, f: Field, own: Column) -> Column:
+        """Tokens of a text field, given as ``own``, and once each what else they can be found by: synonyms, stems, phonetic codes, suffixes."""
         every = own
         for group in self.synonyms:
             terms = F.array(*[F.lit(t.lower()) for t in group])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import geo as G
@@ -18,6 +19,15 @@ from quern.plans.index import Field, Index
 EPSILON = 0.01
 
 
+def computed_once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Rows with columns that no later mention computes anew: a generator of one row each holds
+    them, into which no optimiser rule inlines or pushes filters."""
+    if not columns:
+        return rows
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return rows.select("*", made.alias("_made")).withColumns({n: F.col("_made")[n] for n in columns}).drop("_made")
+
+
 @dataclass
 class Compiled:
     """What a tree asks of a document, and what else the caller needs."""
@@ -33,22 +43,57 @@ class Compiled:
     ranged: Q.VectorRange | None = None
     slop: int | None = None
     inorder: bool = False
-    scope: Column | None = None
-    in_python: bool = False
 
     def token_column(self, f: Field) -> Column:
-        """The tokens: a column of their own, or a field of the scope that holds them."""
         name = f"_tokens_{f.name}"
         self.tokens[name] = self.index.tokens(f, raw=self.keep_stopwords)
-        return F.col(f"`{name}`") if self.scope is None else self.scope[name]
+        return F.col(f"`{name}`")
 
     def variant_column(self, f: Field) -> Column:
         if not self.index.has_variants(f):
             return self.token_column(f)
         name = f"_variants_{f.name}"
-        self.tokens[name] = self.index.variants(f, raw=self.keep_stopwords)
-        self.in_python = self.in_python or self.index.stems(f)
-        return F.col(f"`{name}`") if self.scope is None else self.scope[name]
+        self.tokens[name] = self.index.variants(f, self.token_column(f))
+        return F.col(f"`{name}`")
+
+    def tokenised(self, rows: DataFrame) -> DataFrame:
+        """Rows with their tokens, then with the variants that are made of these."""
+        rows = computed_once(rows, {n: c for n, c in self.tokens.items() if n.startswith("_tokens_")})
+        return computed_once(rows, {n: c for n, c in self.tokens.items() if n.startswith("_variants_")})
+
+    def rough(self, node: Q.Node, names: tuple[str, ...] | None = None) -> Column | None:
+        """What every hit's raw texts fulfil and needs no tokens; None where nothing is known.
+
+        Tokens are runs of the lower-case text once inner marks are gone, so what a token holds, the text holds.
+        """
+        match node:
+            case Q.Text() if self.verbatim and (self.keep_stopwords or node.word.lower() not in self.index.stopwords):
+                return self._held(self.words(node.word), names)
+            case Q.Phrase():
+                words = [w for x in node.words for w in self.words(x) if self.keep_stopwords or w not in self.index.stopwords]
+                return self._held(words, names) if words else None
+            case Q.Prefix():
+                return self._held([node.start.lower()], names)
+            case Q.Wildcard() if "\\" not in node.pattern:
+                return self._held(re.split(r"[*?]+", node.pattern.lower()), names)
+            case Q.Scope():
+                return self.rough(node.child, node.names)
+            case Q.Attributed():
+                return self.rough(node.child, names)
+            case Q.And():
+                known = [c for c in (self.rough(n, names) for n in node.children) if c is not None]
+                return reduce(lambda a, b: a & b, known) if known else None
+            case Q.Or():
+                each = [self.rough(n, names) for n in node.children]
+                return None if any(c is None for c in each) else reduce(lambda a, b: a | b, each)
+        return None
+
+    def _held(self, pieces: list[str], names: tuple[str, ...] | None) -> Column | None:
+        texts = [self.index.unmarked(f) for f in self.index.text_fields(names)]
+        pieces = [p for p in dict.fromkeys(pieces) if p]
+        if not pieces or not texts or any(t is None for t in texts):
+            return None
+        return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.contains(t, F.lit(p)) for p in pieces]) for t in texts])
 
     def _texts(self, names: tuple[str, ...] | None) -> list[Field]:
         found = self.index.text_fields(names)
@@ -91,7 +136,6 @@ class Compiled:
             if slop == 0 and inorder:
                 near = F.contains(F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" ")), F.lit(f" {' '.join(words)} "))
             else:
-                self.in_python = True
                 near = T.phrase_within(slop, inorder, words)(own)
             out = out | (every & near)
         return out

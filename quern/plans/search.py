@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,46 +13,32 @@ from quern.plans.predicates import Compiled
 from quern.plans.scoring import with_score
 
 
-def _matched(index: Index, query: str, params: dict | None, *, verbatim=False, nostopwords=False, infields=None, slop=None, inorder=False, extra=()) -> tuple[DataFrame, DataFrame, Compiled]:
-    """All documents with token columns, those that match, and the compiled plan."""
-    def compiled(scope: Column | None = None) -> Compiled:
-        return Compiled(index, params or {}, verbatim, nostopwords, slop=slop, inorder=inorder, scope=scope)
+def _matched(index: Index, query: str, params: dict | None, *, verbatim=False, nostopwords=False, infields=None, slop=None, inorder=False, extra=()) -> tuple[DataFrame, Compiled]:
+    """The documents that match, with token columns, and the compiled plan."""
+    def compiled() -> Compiled:
+        return Compiled(index, params or {}, verbatim, nostopwords, slop=slop, inorder=inorder)
 
     plan, tree = compiled(), Q.parse(query, params)
     names = tuple(infields) if infields else None
     if slop is not None and isinstance(tree, Q.And) and all(isinstance(c, Q.Text) for c in tree.children):
         tree = Q.Phrase(tuple(c.word for c in tree.children), slop, inorder)
     plan(tree, names)
-    source = index.documents()
-    documents = source.withColumns(plan.tokens) if plan.tokens else source
-    # what needs no tokens is a filter that scans can take
-    hits, texts = source, []
+    # what needs no tokens is a filter that scans can take, and goes first
+    hits, late = index.documents(), []
     for part in tree.children if isinstance(tree, Q.And) else (tree,):
         own = compiled()
         held = own(part, names)
         if own.tokens:
-            texts.append((part, own.in_python))
-        else:
+            late.append(held)
+            held = own.rough(part, names)
+        if held is not None:
             hits = hits.where(held)
     for f in extra:
         hits = hits.where(f(plan))
-    # the rest tokenises once a row: a filter on token columns would compute them anew at every mention
-    bound = [p for p, in_python in texts if not in_python]
-    if bound:
-        own = compiled()
-        for p in bound:
-            own(p, names)
-
-        def held_in(scope: Column) -> Column:
-            inside = compiled(scope)
-            return reduce(lambda a, b: a & b, [inside(p, names) for p in bound])
-
-        hits = hits.where(F.exists(F.array(F.struct(*[c.alias(n) for n, c in own.tokens.items()])), held_in))
-    hits = hits.withColumns(plan.tokens) if plan.tokens else hits
-    for p, in_python in texts:
-        if in_python:
-            hits = hits.where(compiled()(p, names))
-    return documents, hits, plan
+    hits = plan.tokenised(hits)
+    for held in late:
+        hits = hits.where(held)
+    return hits, plan
 
 
 def search(
@@ -85,7 +69,7 @@ def search(
     """
     extra = [lambda p, f=f: p(Q._range(f[0], f"{f[1]} {f[2]}")) for f in filters]
     extra += [lambda p, g=g: p.geo(*g) for g in geofilters]
-    documents, hits, plan = _matched(index, query, params, verbatim=verbatim, nostopwords=nostopwords, infields=infields, slop=slop, inorder=inorder, extra=extra)
+    hits, plan = _matched(index, query, params, verbatim=verbatim, nostopwords=nostopwords, infields=infields, slop=slop, inorder=inorder, extra=extra)
     if inkeys is not None:
         hits = hits.where(F.col(index.key).isin(list(inkeys)))
     added: dict[str, Column] = {}
@@ -100,7 +84,7 @@ def search(
         if plan.knn:
             hits = hits.orderBy(*order).limit(plan.knn.k)
     else:
-        _, score = with_score(index, documents, plan, scorer)
+        score = with_score(index, plan, scorer)
         hits = hits.withColumn("score", score.cast("double"))
         order = [F.col("score").desc(), F.col(index.key).asc()]
     number, text = index.sort_columns(sortby[0]) if sortby else (F.lit(None).cast("double"), F.lit(None).cast("string"))
@@ -123,6 +107,9 @@ def search(
             c = T.highlight(c.cast("string"), words, *highlight.get("tags", ("<b>", "</b>")))
         shown.append(c.alias(alias))
     explained = [F.struct(F.col("score"), F.lit(scorer).alias("scorer")).alias("explanation")] if explain_score else []
+    if limit is None and plan.tokens:
+        # a global sort samples its input: rows cross a shuffle first, so that texts are not searched twice
+        hits = hits.drop(*plan.tokens).repartition(F.col(f"`{index.key}`"))
     ranked = hits.orderBy(*order)
     if limit is not None:
         ranked = ranked.offset(limit[0]).limit(limit[1]) if limit[0] else ranked.limit(limit[1])
@@ -131,7 +118,7 @@ def search(
 
 def count(index: Index, query: str, **options) -> DataFrame:
     """LIMIT 0 0: the number of matches."""
-    _, hits, _ = _matched(index, query, options.pop("params", None), **options)
+    hits, _ = _matched(index, query, options.pop("params", None), **options)
     return hits.agg(F.count(F.lit(1)).alias("total"))
 
 
@@ -175,7 +162,7 @@ def hybrid(
         near = near.withColumn("_v", beta * scaled("vector_score", True))
     both = texts.join(near, "key", "full_outer").withColumn("score", F.coalesce("_t", F.lit(0.0)) + F.coalesce("_v", F.lit(0.0)))
     if post_filter:
-        _, admitted, _ = _matched(index, post_filter, params)
+        admitted, _ = _matched(index, post_filter, params)
         both = both.join(admitted.select(F.col(f"`{index.key}`").alias("key")), "key", "left_semi")
     ranked = both.select("key", "score", "text_score", "vector_score").orderBy(F.desc("score"), "key")
     return ranked if limit is None else ranked.offset(limit[0]).limit(limit[1]) if limit[0] else ranked.limit(limit[1])
