@@ -18,6 +18,7 @@ from quern.functions.registry import Scripts
 from quern.operators import dictionaries, documents, geosets, hashes, keyspace, lists, sets, streams, strings, vectorsets, zsets
 from quern.plans.aggregate import Reduce, aggregate
 from quern.plans.index import Field, Index
+from quern.plans.postings import Postings
 from quern.plans.search import count, hybrid, search
 from quern.sources import keys as K
 
@@ -255,6 +256,26 @@ def search_bm25(spark, d):
     return search(documents_index(spark, d), "worthless|pathetic", limit=(0, 20), returns=[], verbatim=True).select("key", F.round("score", 6).alias("score"))
 
 
+def _written(spark: SparkSession, d: str) -> Postings:
+    """The words of all documents, written from those that have other texts first and refreshed with theirs."""
+    own, folder = documents_index(spark, d), K.scratch(spark, "postings")
+    other = own.source.withColumn("text", F.when(F.col("doc_id") % 3 > 0, F.col("text")).otherwise(F.concat(F.lit("worthless "), "text")))
+    Postings(replace(own, source=other), folder).build()
+    return Postings(own, folder).refresh(own.source.where("doc_id % 3 = 0").select("doc_id"))
+
+
+@_register(f"{_BM25} SELECT doc_id AS key, round(score, 6) AS score FROM r ORDER BY r.score DESC, doc_id LIMIT 20")
+def postings_bm25(spark, d):
+    found = _written(spark, d).search("worthless|pathetic", limit=(0, 20), verbatim=True)
+    return found.select(F.col("key").cast("long").alias("key"), F.round("score", 6).alias("score"))
+
+
+@_register(f"SELECT doc_id AS key FROM documents WHERE contains(' ' || array_to_string({_TOKENS}, ' ') || ' ', ' of the ') AND lang = 'en'")
+def postings_phrase(spark, d):
+    found = _written(spark, d).search('"of the" @lang:{en}', limit=None, verbatim=True)
+    return found.select(F.col("key").cast("long").alias("key"))
+
+
 @_register(f"{_BM25} SELECT doc_id AS key, round(score / (score + 1.2), 6) AS score FROM r ORDER BY r.score DESC, doc_id LIMIT 20")
 def search_bm25_legacy(spark, d):
     return search(documents_index(spark, d), "worthless|pathetic", limit=(0, 20), returns=[], verbatim=True, scorer="BM25").select("key", F.round("score", 6).alias("score"))

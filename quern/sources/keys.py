@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +14,18 @@ from pyspark.sql import functions as F
 from quern.functions.text import glob_regex
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: under ``spark.checkpoint.dir``, else the warehouse; in local mode, one that goes with the program."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local["):
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    if base is None:
+        own = tempfile.mkdtemp(prefix=f"quern-{name}-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
